@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="touchline-"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose results are written and no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def in_chunks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about CHUNK_CHARS bytes of text, or one row."""
     for batch in batches:
@@ -73,7 +84,7 @@ class Words:
     the text that holds it.
     """
 
-    def __init__(self, texts: list[bytes], salt: int = 0):
+    def __init__(self, texts: list[bytes]):
         split = [t.split() for t in texts]  # bytes.split() knows exactly these six white-space bytes
         self.split = split
         self.counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
@@ -81,23 +92,29 @@ class Words:
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         flat = [w for words in split for w in words]
         self.n = len(flat)
-        joined = b" ".join(flat) + b" "
-        raw = np.frombuffer(joined, dtype=np.uint8)
+        self.raw = np.frombuffer(b" ".join(flat) + b" ", dtype=np.uint8)
         lengths = np.fromiter(map(len, flat), dtype=np.int64, count=self.n)
         ends = np.cumsum(lengths + 1)
         self.starts, self.ends = ends - lengths - 1, ends
-        if self.n:
+        self._sums: dict[int, np.ndarray] = {}
+        self._back: np.ndarray | None = None
+
+    def _sum(self, salt: int) -> np.ndarray:
+        if salt not in self._sums:
             table = np.random.default_rng(8191 + salt).integers(1, 1 << 63, 256, dtype=np.uint64)
-            self._sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[raw] * powers(len(raw), _ODD))])
-            self._back = powers(len(raw) + 1, _ODD_INVERSE)
-        self.joined = joined
+            terms = table[self.raw]
+            terms *= powers(len(self.raw), _ODD)
+            self._sums[salt] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+        return self._sums[salt]
 
-    def runs(self, k: int, at: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the k words from each position in at."""
+    def runs(self, k: int, at: np.ndarray, salt: int = 0) -> np.ndarray:
+        """64-bit hashes of the k words from each position in at; salts give independent hashes."""
         if not len(at):
             return np.zeros(0, np.uint64)
-        s, e = self.starts[at], self.ends[at + k - 1]
-        return mixed((self._sum[e] - self._sum[s]) * self._back[s])
+        if self._back is None:
+            self._back = powers(len(self.raw) + 1, _ODD_INVERSE)
+        total, s = self._sum(salt), self.starts[at]
+        return mixed((total[self.ends[at + k - 1]] - total[s]) * self._back[s])
 
     def whole(self, k: int) -> np.ndarray:
         """Positions from which k consecutive words lie in one text."""
