@@ -31,10 +31,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Those without an id are told by their text."""
-    named = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("text").cast("string"))))
-    found = decontamination.contaminated(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
-    keys = written(found.select("_key").distinct(), f"{work_dir(spark)}/contaminated")
-    return named.join(keys, "_key", "left_anti").select(docs.columns)
+    named = docs.withColumn("_decontamination_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("text").cast("string"))))
+    found = decontamination.contaminated(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_decontamination_key")
+    keys = written(found.select("_decontamination_key").distinct(), f"{work_dir(spark)}/contaminated")
+    return named.join(keys, "_decontamination_key", "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Secrets in text: fixed patterns, and random strings told from ordinary ones by character Markov models.
 
-Two models of the next character given the one before are learned from labelled samples: of random strings,
-from the values that the fixed patterns find in the corpus and from generated keys; of ordinary text, from
-all that the patterns leave of the corpus. A long token is a secret if the logarithm of its likelihood ratio
-is over that of the odds against a token being one.
+Models of the next character given the one before are learned from labelled samples: of random strings, from
+the values that the fixed patterns find in the corpus and from generated keys; of ordinary strings, from all
+that the patterns leave of the corpus, and from identifiers, paths and dates made of common words. A long
+token is a secret if its likelihood as a random string, over that as either ordinary kind, exceeds the odds
+against a token being one.
 """
 
 from __future__ import annotations
@@ -81,15 +82,35 @@ def generated(n: int = GENERATED, seed: int = 1) -> list[str]:
     return ["".join(r.choice(sets[k % len(sets)]) for _ in range(r.randint(20, 48))) for k in range(n)]
 
 
+_PARTS = """account address all amount array backup base batch buffer byte cache call catalog child class client close code column config connection
+content context count create current customer data database date default delete description element end entity error event example expression factory file
+filter first for format from function get group handler hash header history id image in index info input instance int internal is item java key label last
+length level line link list load local log main manager map message method model module name new node not null number object of offset on open option order
+org output page parameter parent parse path plan point position private process product project property provider public query read record reference
+registry remote report repository request reset resource response result row run schema search select send server service session set size source spark
+sql start state status string system table task test text time to token total type update url user value version view visit web write"""
+
+
+def ordinary(n: int = GENERATED, seed: int = 2) -> list[str]:
+    """Identifiers, paths and dates as code and configuration have them."""
+    r, parts = random.Random(seed), _PARTS.split()
+    joins = (
+        lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "".join(x.capitalize() for x in w), "_".join, lambda w: "_".join(w).upper(), "-".join, "/".join,
+        lambda w: "/".join(w[:2]) + "/" + "".join(x.capitalize() for x in w[2:]), lambda w: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}-" + "-".join(w[:2]), lambda w: "_".join(w) + str(r.randint(1, 99)),
+    )
+    out = [r.choice(joins)([r.choice(parts) for _ in range(r.randint(3, 6))]) for _ in range(2 * n)]
+    return out + [c * 24 for c in ALPHABET] * 8
+
+
 @dataclass
 class Models:
-    """ratio: log-likelihood ratio of each pair of characters, random over ordinary."""
+    """ratios: for each ordinary kind the log-likelihood ratio of each pair of characters, random over ordinary."""
 
-    ratio: np.ndarray
+    ratios: np.ndarray
 
     def score(self, token: str) -> float:
         states = _STATE[np.frombuffer(token.encode("ascii"), dtype=np.uint8)]
-        return float(self.ratio[states[:-1], states[1:]].sum())
+        return float(self.ratios[:, states[:-1], states[1:]].sum(axis=1).min())
 
     def spans(self, text: str) -> list[Span]:
         """The base spans and the random tokens that overlap none of them, by start and then kind."""
@@ -125,13 +146,18 @@ def train(docs: DataFrame, text_col: str = "text") -> Models:
     summed = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind bigint, pair bigint, n bigint").groupBy("kind", "pair").agg(F.sum("n").alias("n"))
     for r in summed.collect():
         counts[r["kind"], r["pair"]] = r["n"]
-    own = sum((_pairs(s.encode()) for s in generated()), np.zeros(STATES**2, np.int64))
-    if counts[1].sum() > own.sum():  # found values weigh as much as the generated keys, not more
-        counts[1] *= own.sum() / counts[1].sum()
-    counts[1] += own
-    tables = counts.reshape(2, STATES, STATES) + 0.5
+    return models(counts)
+
+
+def models(counts: np.ndarray) -> Models:
+    """The models of pairs counted in the corpus, ordinary and secret."""
+    of = lambda strings: sum((_pairs(s.encode()) for s in strings), np.zeros(STATES**2, np.int64))
+    own, secret = of(generated()), counts[1]
+    if secret.sum() > own.sum():  # found values weigh as much as the generated keys, not more
+        secret = secret * (own.sum() / secret.sum())
+    tables = np.stack([counts[0], of(ordinary()), secret + own]).reshape(3, STATES, STATES) + 0.5
     logs = np.log(tables / tables.sum(axis=2, keepdims=True))
-    return Models(logs[1] - logs[0])
+    return Models(logs[2] - logs[:2])
 
 
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
