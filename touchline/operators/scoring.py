@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from .fits import newton
 
 EPSILON = 1e-12
 BANDS = 10
@@ -148,7 +149,7 @@ def benchmark_changes(sources: DataFrame, threshold: float = 0.5) -> DataFrame:
     return top.withColumn("before", F.lag("now").over(w)).where("before is not null and before <> now").select("season", "before", "now")
 
 
-def calibration_slope(predictions: DataFrame, keys: list[str], rounds: int = 25) -> DataFrame:
+def calibration_slope(predictions: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
     """(keys, n, intercept, slope, slope_se, slope_z): outcomes by the log-odds of the probability.
 
     Newton steps on two coefficients. Each group is first reduced to counts at its distinct probabilities,
@@ -164,15 +165,16 @@ def calibration_slope(predictions: DataFrame, keys: list[str], rounds: int = 25)
         x, c, s = (group[k].to_numpy(float) for k in ("x", "c", "s"))
         row = {k: group[k].iloc[0] for k in keys} | {"n": int(c.sum()), "intercept": None, "slope": None, "slope_se": None, "slope_z": None}
         if c.sum() >= 30 and 0 < s.sum() < c.sum():
-            theta = np.array([0.0, 1.0])
             design = np.column_stack([np.ones_like(x), x])
-            for _ in range(rounds):
-                mu = 1 / (1 + np.exp(-design @ theta))
-                info = design.T @ (design * (c * mu * (1 - mu))[:, None]) + 1e-12 * np.eye(2)
-                step = np.linalg.solve(info, design.T @ (s - c * mu))
-                theta = theta + np.clip(step, -5, 5)
-                if np.abs(step).max() < 1e-10:
-                    break
+            mean = lambda t: 1 / (1 + np.exp(-np.clip(design @ t, -700, 700)))
+            value = lambda t: (c * np.logaddexp(0, design @ t) - s * (design @ t)).sum()
+
+            def curve(t):
+                mu = mean(t)
+                return -design.T @ (s - c * mu), design.T @ (design * (c * mu * (1 - mu))[:, None]) + 1e-12 * np.eye(2)
+
+            theta, _ = newton(value, curve, np.array([0.0, 1.0]), np.full(2, -50.0), np.full(2, 50.0), rounds)
+            info = curve(theta)[1]
             se = float(np.sqrt(np.linalg.pinv(info)[1, 1]))
             row |= {"intercept": float(theta[0]), "slope": float(theta[1]), "slope_se": se, "slope_z": float((theta[1] - 1) / se) if se > 0 else None}
         return pd.DataFrame([row])

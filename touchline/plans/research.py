@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scoring
+from ..operators.fits import newton
 
 LEAST = 50
 
@@ -26,13 +27,12 @@ def offset_poisson(rows: DataFrame, keys: list[str], draws: int = 200, seed: int
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def fit(x, y, offset, w):
-        v = np.zeros(3)
-        for _ in range(30):
+        def curve(v):
             rate = np.exp(np.clip(offset + x @ v, -20, 20))
-            step = np.linalg.lstsq((x * (w * rate)[:, None]).T @ x + 1e-9 * np.eye(3), x.T @ (w * (y - rate)), rcond=None)[0]
-            v = v + np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-9:
-                break
+            return -x.T @ (w * (y - rate)), (x * (w * rate)[:, None]).T @ x + 1e-9 * np.eye(3)
+
+        value = lambda v: -(w * (y * (offset + x @ v) - np.exp(np.clip(offset + x @ v, -20, 20)))).sum()
+        v, _ = newton(value, curve, np.zeros(3), np.full(3, -20.0), np.full(3, 20.0))
         return v
 
     def run(key, g):

@@ -64,7 +64,7 @@ def read_raw(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
     raw = spark.read.csv(path, header=True, inferSchema=False, mode="DROPMALFORMED", encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     named = [c for c in raw.columns if not c.startswith(("_c", "Unnamed")) and c.strip()]
     out = raw.select([_col(c).alias(c.strip().lstrip("﻿")) for c in named])
-    return out.dropna("all")
+    return out.where(F.coalesce(*[_col(c) for c in out.columns]).isNotNull())
 
 
 def wide_matches(raw: DataFrame, league: str, season: int) -> DataFrame:
