@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, in_chunks, release, shuffle_partitions, texts_of, work_dir, written
+from .common import Words, in_chunks, mixed, release, shuffle_partitions, texts_of, work_dir, written
 
 WINDOW = 50
 ANCHOR = (WINDOW + 1) // 2
@@ -50,11 +50,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["bucket", "kind", "docs", "counts", "keys", "at"])
 
 
-def _rows(batches):
-    """The rows of _PACKED as tuples of arrays."""
+def _rows(batches, width: int):
+    """The rows of _PACKED as tuples of arrays; a document is named by so many numbers."""
     for batch in batches:
         for bucket, kind, docs, counts, keys, at in zip(*(c.to_pylist() for c in batch.columns)):
-            yield bucket, kind, np.frombuffer(docs, "<i8").reshape(-1, 2), np.frombuffer(counts, "<u4"), keys, np.frombuffer(at, "<u4")
+            yield bucket, kind, np.frombuffer(docs, "<i8").reshape(-1, width), np.frombuffer(counts, "<u4"), keys, np.frombuffer(at, "<u4")
 
 
 def _anchors(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ def hits(docs: DataFrame, buckets: int) -> DataFrame:
 
     def probe(batches):
         for batch in in_chunks(batches, 2):
-            ids = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+            ids = batch.column(0).to_numpy().reshape(-1, 1)
             words = Words(texts_of(batch.column(2)))
             at, code = _anchors(words, buckets)
             if not len(at):
@@ -85,7 +85,7 @@ def hits(docs: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["id", "code"])
 
         now, index, known, least, hit = None, [], None, None, None
-        for bucket, kind, docs, counts, keys, _ in _rows(batches):
+        for bucket, kind, docs, counts, keys, _ in _rows(batches, 1):
             if bucket != now:
                 if hit is not None and hit.any():
                     yield found(least[hit], known[hit], now)
@@ -112,9 +112,14 @@ def hits(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(probe, _PACKED).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(meet, "id bigint, code bigint")
 
 
+def _unit(docs: np.ndarray, units: int) -> np.ndarray:
+    """Which of so many units of the corpus a document (id, mark) belongs to."""
+    return ((mixed(docs[:, 0].view(np.uint64)) ^ docs[:, 1].view(np.uint64)) % np.uint64(units)).astype(np.int64)
+
+
 def repeats(docs: DataFrame, buckets: int) -> DataFrame:
-    """(id, mark, starts): windows of the documents (id, mark, text, codes) around their hits that a smaller
-    document has too; starts is packed as unsigned 32-bit."""
+    """_PACKED: the starts of windows of the documents (id, mark, text, codes) around their hits that a smaller
+    document has too. A row is what one bucket of keys has found for one unit of the corpus."""
 
     def windows(batches):
         for batch in in_chunks(batches, 2):
@@ -145,45 +150,71 @@ def repeats(docs: DataFrame, buckets: int) -> DataFrame:
             least = np.repeat(np.minimum.reduceat(docs[:, 0], first), np.diff(np.r_[first, len(keys)]))
             again = docs[:, 0] > least
             docs, at = docs[again], at[again]
-            order = np.lexsort((at, docs[:, 1], docs[:, 0]))
-            docs, at = docs[order], at[order]
+            unit = _unit(docs, buckets)
+            order = np.lexsort((at, docs[:, 1], docs[:, 0], unit))
+            docs, at, unit = docs[order], at[order], unit[order]
             first = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]).any(axis=1)]) if len(docs) else np.zeros(0, int)
-            starts = [x.astype("<u4").tobytes() for x in np.split(at, first[1:])] if len(docs) else []
-            return pa.RecordBatch.from_arrays([pa.array(docs[first, 0]), pa.array(docs[first, 1]), pa.array(starts, pa.binary())], ["id", "mark", "starts"])
+            return _batch(_pack(0, buckets, unit, np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(docs)])), docs[first], np.zeros(len(at), "V0"), at)) if len(docs) else None
 
         now, parts = None, []
-        for bucket, _, docs, counts, keys, at in _rows(batches):
+        for bucket, _, docs, counts, keys, at in _rows(batches, 2):
             if bucket != now and parts:
-                yield done(parts)
+                if (out := done(parts)) is not None:
+                    yield out
                 parts = []
             now = bucket
             parts.append((np.repeat(docs, counts, axis=0), np.frombuffer(keys, _KEY), at))
-        if parts:
-            yield done(parts)
+        if parts and (out := done(parts)) is not None:
+            yield out
+
+    return docs.mapInArrow(windows, _PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, _PACKED)
 
-    return docs.mapInArrow(windows, _PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "id bigint, mark bigint, starts binary")
 
+def _without(docs: DataFrame, found: DataFrame, units: int) -> DataFrame:
+    """(id, n_words, n_removed, kept) of documents (id, mark, text) by the starts found (_PACKED).
 
-def _without(docs: DataFrame) -> DataFrame:
-    """(id, n_words, n_removed, kept) of documents (id, text, starts)."""
+    Both meet by unit: a unit's starts come first in the sorted partition and are held while its documents
+    stream by.
+    """
+
+    def numbered(batches):
+        for batch in batches:
+            ids = np.stack([batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(_unit(ids, units).astype(np.int32)), *batch.columns], ["unit", "id", "mark", "text"])
+
+    texts = docs.select("id", "mark", "text").mapInArrow(numbered, "unit int, id bigint, mark bigint, text string")
+    none = F.lit(None)
+    texts = texts.select("unit", F.lit(1).alias("kind"), "id", "mark", "text", none.cast("binary").alias("docs"), none.cast("binary").alias("counts"), none.cast("binary").alias("at"))
+    starts = found.select(F.col("bucket").alias("unit"), F.lit(0).alias("kind"), none.cast("bigint").alias("id"), none.cast("bigint").alias("mark"), none.cast("string").alias("text"), "docs", "counts", "at")
 
     def run(batches):
-        for batch in in_chunks(batches):
-            n, gone, kept = [], [], []
-            for text, starts in zip(texts_of(batch.column(1)), batch.column(2).to_pylist()):
+        now, gone = None, {}
+        for batch in in_chunks(batches, 4):
+            ids, n, removed, kept = [], [], [], []
+            for unit, kind, i, mark, text, docs_, counts, at in zip(*(batch.column(k).to_pylist() if k != 4 else texts_of(batch.column(4)) for k in range(8))):
+                if unit != now:
+                    now, gone = unit, {}
+                if kind == 0:
+                    names, cuts = np.frombuffer(docs_, "<i8").reshape(-1, 2).tolist(), np.cumsum(np.frombuffer(counts, "<u4"))[:-1]
+                    for name, part in zip(names, np.split(np.frombuffer(at, "<u4"), cuts)):
+                        gone.setdefault(tuple(name), []).append(part)
+                    continue
                 words = text.split()
                 n.append(len(words))
-                if starts:
+                found_ = gone.get((i, mark)) if i is not None else None
+                if found_:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    at = np.unique(np.frombuffer(b"".join(starts), "<u4"))
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + WINDOW, -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
-                gone.append(n[-1] - len(words))
+                    first = np.unique(np.concatenate(found_)).astype(np.int64)
+                    edge[first] += 1
+                    edge[first + WINDOW] -= 1
+                    words = [words[j] for j in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
+                ids.append(i)
+                removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    return docs.mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept string")
+    return texts.unionByName(starts).repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,15 +225,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    work, buckets = work_dir(spark), 2 * shuffle_partitions(spark)
+    work, buckets = work_dir(spark), shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).cast("string").alias("text"))
     named = rows.where("id is not null")
     met = written(hits(named, buckets).groupBy("id").agg(F.collect_set("code").alias("codes")), f"{work}/hits")
     release(spark)
     again = written(repeats(named.join(met, "id").select("id", "mark", "text", "codes"), buckets), f"{work}/repeats")
     release(spark)
-    starts = again.groupBy("id", "mark").agg(F.collect_list("starts").alias("starts"))
-    out = _without(rows.join(starts, ["id", "mark"], "left").select("id", "text", "starts"))
+    out = _without(rows, again, buckets)
     return out.withColumnRenamed("id", id_col)
 
 
