@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.ORACLE, "op2_fixity": fixity.ORACLE}
+    return {"op1_decontamination": decontamination.ORACLE, "op2_fixity": fixity.ORACLE, "op6_substring": substring.ORACLE}
