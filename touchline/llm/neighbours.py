@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import work_dir, written
 
-BOOKS = 8
+BOOKS = 16
 WORDS = 256
 BEAM = 8
 #: Bound of the sample that the codebooks are fitted to; every vector is indexed.
@@ -58,7 +58,7 @@ class Quantiser:
         return sum(book[codes[:, k]] for k, book in enumerate(self.books))
 
 
-def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 3, seed: int = 7) -> Quantiser:
+def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2, seed: int = 7) -> Quantiser:
     """Codebooks of the rows of x: k-means of what the books before leave, then least squares for all books
     at once given the codes, and new codes by beam search."""
     r = np.random.default_rng(seed)
@@ -79,13 +79,9 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 3,
     for _ in range(rounds):
         codes = model.encode(x)
         columns = codes.astype(np.int64) + words * np.arange(books)
-        gram = np.zeros((books * words, books * words), np.float32)
-        for i in range(books):
-            for j in range(books):
-                np.add.at(gram, (columns[:, i], columns[:, j]), 1)
-        right = np.zeros((books * words, x.shape[1]), np.float32)
-        for i in range(books):
-            np.add.at(right, columns[:, i], x)
+        pair = lambda i, j: np.bincount(codes[:, i].astype(np.int64) * words + codes[:, j], minlength=words * words).reshape(words, words)
+        gram = np.block([[pair(i, j) for j in range(books)] for i in range(books)]).astype(np.float32)
+        right = np.stack([np.bincount(columns.ravel(), weights=np.repeat(x[:, d], books), minlength=books * words) for d in range(x.shape[1])], axis=1).astype(np.float32)
         prior = model.books.reshape(books * words, -1)
         model = Quantiser(np.linalg.solve(gram + 0.1 * np.eye(len(gram), dtype=np.float32), right + 0.1 * prior).reshape(books, words, -1).astype(np.float32))
     return model
