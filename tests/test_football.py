@@ -223,7 +223,7 @@ def test_feeds(spark, tmp_path):
     with pytest.raises(feeds.Refused, match="Lens"):
         feeds.open_calendar(put("b.json", {"matches": [{"date": "2026-08-22", "team1": "Lens", "team2": "Lyon"}]}, feeds.OPEN_CALENDAR), "F1", 2026, clubs)
     s = put("c.json", {"dates": [{"id": "1", "isResult": True, "datetime": "2026-08-22 19:00:00", "h": {"title": "Lyon"}, "a": {"title": "Marseille"}, "goals": {"h": "1", "a": "0"}, "xG": {"h": "1.5", "a": "nan"}}, {"id": "2", "isResult": False, "datetime": "2026-08-29 19:00:00", "h": {"title": "Lyon"}, "a": {"title": "Marseille"}, "goals": {"h": None, "a": None}, "xG": {"h": "0", "a": "0"}}], "teams": {"9": {"id": "9", "title": "Lyon", "history": [{"h_a": "h", "date": "2026-08-22 19:00:00", "xG": 1.5, "npxG": 0.7, "xGA": 1, "npxGA": 1, "deep": 3, "scored": 1}]}}}, feeds.SEASON)
-    rows = feeds.season_calendar(s, "F1", 2026).orderBy("understat_id").collect()
+    rows = feeds.season_calendar(s, "F1", 2026).orderBy("feed_id").collect()
     assert rows[0]["home_xg"] == 1.5 and rows[0]["away_xg"] is None and rows[1]["home_xg"] is None and feeds.played_matches(s, "F1", 2026).count() == 1
     assert feeds.team_history(s, "F1", 2026).first()["npxg"] == 0.7
     r = put("d.json", {"rosters": {"h": {"1": {"player_id": "7", "player": "O&#039;Neil", "position": "Sub", "time": "20", "xGChain": "0.1"}}, "a": {"2": {"player_id": "8", "player": "B", "position": "FW", "time": "90"}}}}, feeds.ROSTER)

@@ -18,9 +18,9 @@ MATCHES = (
 )
 ODDS = "match_id string, bookmaker string, phase string, market string, selection string, line double, price double"
 INGEST_LOG = "league string, season_start_year int, matches bigint, odds bigint, loaded_at timestamp"
-MATCH_XG = "match_id string, understat_id string, home_xg double, away_xg double"
+MATCH_XG = "match_id string, feed_id string, home_xg double, away_xg double"
 LINEUPS = "match_id string, is_home boolean, player_id string, player string, position string, minutes int, started boolean, xg double, xa double, xgchain double"
-FIXTURES = "understat_id string, league string, season_start_year int, kickoff_utc timestamp, home_team string, away_team string, played boolean, home_goals int, away_goals int, home_xg double, away_xg double"
+FIXTURES = "feed_id string, league string, season_start_year int, kickoff_utc timestamp, home_team string, away_team string, played boolean, home_goals int, away_goals int, home_xg double, away_xg double"
 CALENDAR = "source string, league string, season_start_year int, kickoff_utc timestamp, round string, home_team string, away_team string, played boolean, home_goals int, away_goals int"
 INJURIES = "league string, season_start_year int, team string, player_id string, player string, status string, reason string, ruled_out boolean, doubtful boolean, fixture_date date, fetched_at timestamp"
 SNAPSHOTS = (

@@ -47,7 +47,7 @@ def _dates(payload: DataFrame, league: str, season: int) -> DataFrame:
     played = F.coalesce(F.col("d.isResult"), F.lit(False))
     when = lambda x: F.when(played, x)  # noqa: E731  an unplayed match has no goals and no chances, not none of them
     return d.select(
-        F.col("d.id").alias("understat_id"), F.lit(league).alias("league"), F.lit(season).alias("season_start_year"), _instant(F.col("d.datetime")).alias("kickoff_utc"),
+        F.col("d.id").alias("feed_id"), F.lit(league).alias("league"), F.lit(season).alias("season_start_year"), _instant(F.col("d.datetime")).alias("kickoff_utc"),
         names.canonical_team(F.col("d.h.title")).alias("home_team"), names.canonical_team(F.col("d.a.title")).alias("away_team"), played.alias("played"),
         when(_number(F.col("d.goals.h"), "int")).alias("home_goals"), when(_number(F.col("d.goals.a"), "int")).alias("away_goals"),
         when(_number(F.col("d.xG.h"))).alias("home_xg"), when(_number(F.col("d.xG.a"))).alias("away_xg"),
@@ -181,14 +181,14 @@ def injuries(payload: DataFrame, league: str, season: int, teams: DataFrame, fet
 
 
 def attach_chances(matches: DataFrame, chances: DataFrame, least: float = 0.8) -> DataFrame:
-    """(match_id, understat_id, home_xg, away_xg) of matches found in the chances feed; a score that differs
+    """(match_id, feed_id, home_xg, away_xg) of matches found in the chances feed; a score that differs
     is dropped. Refused where fewer than the least share of matches is found."""
     keys = ["league", "season_start_year", "home_team", "away_team"]
-    feed = chances.select(*keys, "understat_id", "home_xg", "away_xg", F.col("home_goals").alias("hg"), F.col("away_goals").alias("ag"))
+    feed = chances.select(*keys, "feed_id", "home_xg", "away_xg", F.col("home_goals").alias("hg"), F.col("away_goals").alias("ag"))
     both = matches.select(*keys, "match_id", "home_goals", "away_goals").join(feed, keys, "left")
-    rate = both.agg(F.avg(F.col("understat_id").isNotNull().cast("double"))).first()[0]
+    rate = both.agg(F.avg(F.col("feed_id").isNotNull().cast("double"))).first()[0]
     if rate is not None and rate < least:
         raise Refused(f"only {rate:.0%} of matches were found")
     agreed = both.where("hg = home_goals and ag = away_goals")
-    one = agreed.groupBy("match_id").agg(F.min_by(F.struct("understat_id", "home_xg", "away_xg"), "understat_id").alias("x"))
+    one = agreed.groupBy("match_id").agg(F.min_by(F.struct("feed_id", "home_xg", "away_xg"), "feed_id").alias("x"))
     return one.select("match_id", "x.*")
