@@ -79,11 +79,12 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2,
     for _ in range(rounds):
         codes = model.encode(x)
         columns = codes.astype(np.int64) + words * np.arange(books)
-        pair = lambda i, j: np.bincount(codes[:, i].astype(np.int64) * words + codes[:, j], minlength=words * words).reshape(words, words)
-        gram = np.block([[pair(i, j) for j in range(books)] for i in range(books)]).astype(np.float32)
+        pair = lambda i, j: np.bincount(codes[:, i].astype(np.int64) * words + codes[:, j], minlength=words * words).reshape(words, words).astype(np.float32)
+        gram = np.block([[pair(i, j) for j in range(books)] for i in range(books)])
+        gram[np.diag_indices(len(gram))] += np.float32(0.1)  # the words of before, lightly
         right = np.stack([np.bincount(columns.ravel(), weights=np.repeat(x[:, d], books), minlength=books * words) for d in range(x.shape[1])], axis=1).astype(np.float32)
         prior = model.books.reshape(books * words, -1)
-        model = Quantiser(np.linalg.solve(gram + 0.1 * np.eye(len(gram), dtype=np.float32), right + 0.1 * prior).reshape(books, words, -1).astype(np.float32))
+        model = Quantiser(np.linalg.solve(gram, right + np.float32(0.1) * prior).reshape(books, words, -1).astype(np.float32))
     return model
 
 
