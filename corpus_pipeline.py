@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decontamination, packing, quality, secrets, simhash
+from touchline.llm import decontamination, packing, quality, secrets, similar
 from touchline.llm.common import work_dir, written
 
 
@@ -21,9 +21,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, once. Documents without an id are
-    in no group and stay."""
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
+    """Of each group of near-duplicates (five-word shingles, a Jaccard similarity of 0.8 or more) the document with
+    the smallest id, once. Documents without an id are in no group and stay."""
+    groups = similar.groups(docs.where("doc_id is not null"))
     others = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), f"{work_dir(spark)}/others")
     kept = docs.where("doc_id is not null").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
