@@ -26,3 +26,12 @@ def test_every_match_has_its_matrix(spark, name):
     whole = queries.ORACLE[name].replace(lens.sql("rates"), lens.sql("all_rates"))
     assert whole != queries.ORACLE[name]
     assert plain(map(tuple, df.select(columns).collect())) == by_sql(whole, columns)
+
+
+@pytest.mark.parametrize("name,cut", [("price_offered", " WHERE CAST(match_id AS BIGINT) % 10 = 0"), ("reconcile_band_join", " WHERE CAST(match_id AS BIGINT) % 3 = 0")])
+def test_every_match_is_offered_and_reconciled(spark, name, cut):
+    df = queries.QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    assert cut in queries.ORACLE[name]
+    whole = queries.ORACLE[name].replace(cut, "").replace(lens.sql("rates"), lens.sql("all_rates"))
+    assert plain(map(tuple, df.select(columns).collect())) == by_sql(whole, columns)

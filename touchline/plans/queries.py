@@ -398,7 +398,7 @@ def total_distribution(spark, d):
     ELSE (CASE WHEN mg - 0.25 > 1e-9 THEN 1 ELSE 0 END + CASE WHEN mg + 0.25 > 1e-9 THEN 1 ELSE 0 END) / 2 END), 6) AS probability,
   ROUND(SUM(p * CASE WHEN market = 'asian_handicap' THEN (CASE WHEN abs(mg - 0.25) <= 1e-9 THEN 1 ELSE 0 END + CASE WHEN abs(mg + 0.25) <= 1e-9 THEN 1 ELSE 0 END) / 2 ELSE 0 END), 6) AS push_probability FROM g GROUP BY match_id, market, selection, line""")
 def price_offered(spark, d):
-    offered = lens.read(spark, d, "odds").where("cast(match_id as bigint) % 10 = 0").select("match_id", "market", "selection", "line").distinct()
+    offered = lens.read(spark, d, "odds").select("match_id", "market", "selection", "line").distinct()
     return _round(matrix.price_offered(matrix.cells(lens.read(spark, d, "all_rates"), ["match_id"]), offered, ["match_id"]))
 
 
@@ -586,7 +586,7 @@ _SHIFTED = f"SELECT 's' || match_id AS content_hash, league, home_team, away_tea
 def reconcile_band_join(spark, d):
     m = _matches(spark, d)
     shift = (F.col("match_id").cast("bigint") % 5 - 2).cast("int")
-    snaps = m.where("cast(match_id as bigint) % 3 = 0").select(F.concat(F.lit("s"), "match_id").alias("content_hash"), "league", "home_team", "away_team", F.date_add("date", shift).alias("fixture_date"), F.lit(None).cast("string").alias("match_id"))
+    snaps = m.select(F.concat(F.lit("s"), "match_id").alias("content_hash"), "league", "home_team", "away_team", F.date_add("date", shift).alias("fixture_date"), F.lit(None).cast("string").alias("match_id"))
     return archive.reconciled(snaps, m).select("content_hash", "match_id")
 
 
