@@ -35,3 +35,24 @@ def test_every_match_is_offered_and_reconciled(spark, name, cut):
     assert cut in queries.ORACLE[name]
     whole = queries.ORACLE[name].replace(cut, "").replace(lens.sql("rates"), lens.sql("all_rates"))
     assert plain(map(tuple, df.select(columns).collect())) == by_sql(whole, columns)
+
+
+def test_every_match_has_its_week(spark):
+    df = queries.QUERIES["weekly_buckets"](spark, DATA)
+    n, first, last = lens.read(spark, DATA, "matches").selectExpr("count(*)", "min(date)", "max(date)").first()
+    assert df.count() == n and df.selectExpr("min(as_of)", "max(bucket)").first() == (first, (last - first).days // 7)
+    whole = queries.ORACLE["weekly_buckets"].replace("1998-01-01", str(first)).replace("1998-06-30", str(last))
+    columns = sorted(df.columns)
+    assert plain(map(tuple, df.select(columns).collect())) == by_sql(whole, columns)
+
+
+def test_effects_are_of_all_seasons_and_draws(spark, monkeypatch):
+    seen = {}
+
+    def study(rows, keys, draws=200):
+        seen.update(draws=draws, seasons=rows.select("match_id").join(lens.read(spark, DATA, "matches"), "match_id").select("season_start_year").distinct().count())
+        return rows.select("match_id")
+
+    monkeypatch.setattr(queries.research, "offset_poisson", study)
+    queries.QUERIES["availability_effect"](spark, DATA)
+    assert seen["draws"] == 200 and seen["seasons"] > 1

@@ -57,6 +57,12 @@ def _matches(spark, d) -> DataFrame:
     return lens.read(spark, d, "matches")
 
 
+def _whole_walk(matches: DataFrame) -> walk.Walk:
+    """A walk from the first to the last date of matches; without any, over no date."""
+    first, last = matches.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    return walk.Walk(first or "0001-01-01", last or "0001-01-01")
+
+
 def _metric_sql(source: str, keys: str, scopes: dict[str, str]) -> str:
     parts = []
     for scope, within in scopes.items():
@@ -647,7 +653,8 @@ def asof_nearest(spark, d):
 
 @query("weekly_buckets", f"""SELECT match_id, league, b AS bucket, MIN(date) OVER (PARTITION BY league, b) AS as_of FROM (SELECT *, CAST(floor((date - DATE '1998-01-01') / 7) AS BIGINT) AS b FROM {_M} AS m WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30') AS x""")
 def weekly_buckets(spark, d):
-    return walk.bucketed(_matches(spark, d), walk.Walk("1998-01-01", "1998-06-30")).select("match_id", "league", "bucket", "as_of")
+    m = _matches(spark, d)
+    return walk.bucketed(m, _whole_walk(m)).select("match_id", "league", "bucket", "as_of")
 
 
 # ---- fits and what builds on them -------------------------------------------------------------------------
@@ -681,11 +688,11 @@ def walk_forward(spark, d):
 
 @query("availability_effect")
 def availability_effect(spark, d):
-    m = _matches(spark, d).where("season_start_year = 1998")
+    m = _matches(spark, d)
     shares = availability.by_match(availability.features(availability.appearances(lens.read(spark, d, "lineups"), m)))
     totals = m.select("league", "match_id", F.col("home_goals").alias("observed_home"), F.col("away_goals").alias("observed_away"), F.lit(2.0).alias("lam"), F.lit(1.5).alias("mu"))
     rows = research.sides(totals, shares, "missing_share_home", "missing_share_away")
-    return _round(research.offset_poisson(rows, ["league"], draws=20), 4)
+    return _round(research.offset_poisson(rows, ["league"]), 4)
 
 
 @query("streamed_weeks")
