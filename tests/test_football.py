@@ -183,6 +183,42 @@ def test_fair_line_falls_back_by_market(spark):
     assert {r["market"] for r in fair.fair_probabilities(odds, fallback=False).collect()} == {"1x2"}
 
 
+def test_repeated_prices_of_a_book(spark):
+    """The smallest price of a book and phase counts; a repeat loses no market and ends no job."""
+    rows = [("m", "bet365", ph, "1x2", s, None, x) for ph, more in (("open", 0.1), ("close", 0.0)) for s, x in (("home", 2.0 + more), ("draw", 3.5 + more), ("away", 4.2 + more))]
+    again = [("m", "bet365", "close", "1x2", "home", None, 2.2), ("m", "bet365", "open", "1x2", "home", None, 2.3), ("m", "bet365", "close", "1x2", "away", None, 1.0)]
+    odds, more = spark.createDataFrame(rows, schema.ODDS), spark.createDataFrame(rows + again, schema.ODDS)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(fair.fair_probabilities(more)) == key(fair.fair_probabilities(odds)) and fair.fair_probabilities(odds).count() == 3
+    got = {r["selection"]: r for r in fair.chosen_prices(more, books=True).collect()}
+    assert got["home"]["price_taken"] == 2.1 and got["home"]["same_book_close"] == 2.0 and got["home"]["opens"] == {"bet365": 2.1}
+
+
+def test_shin_sums_to_one_and_favours_the_favourite(spark):
+    def solved(prices):  # the same equation by bisection
+        q = [1 / x for x in prices]
+        s, low, high = sum(q), 1e-12, 0.4
+        at = lambda z: [(math.sqrt(z * z + 4 * (1 - z) * x * x / s) - z) / (2 * (1 - z)) for x in q]
+        if s <= 1 or sum(at(high)) > 1:
+            return [x / s for x in q]
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(at(mid)) > 1 else (low, mid)
+        return [x / sum(at(low)) for x in at(low)]
+
+    for prices in ([1.05, 11.0, 26.0], [2.0, 3.5, 4.2], [1.9, 1.9], [1.2, 4.0], [2.2, 2.2], [1.01, 1.01, 1.01], [1.5, 2.0, 501.0]):
+        got = spark.range(1).select(pricing.shin(F.array(*[F.lit(x) for x in prices]))).first()[0]
+        assert got == pytest.approx(solved(prices), abs=1e-9)
+
+
+def test_repeated_fixtures_keep_the_first_hash(spark):
+    columns = "Div string, Date string, Time string, HomeTeam string, AwayTeam string, B365H string, B365D string, B365A string"
+    rows = [("E0", "02/09/2026", "15:00", "Arsenal", "Spurs", x, "3.4", "4.0") for x in ("2.0", "2.1", "2.2", "2.0")]
+    hashes = [archive.snapshot(spark.createDataFrame([r], columns), F.current_timestamp())[0].first()["content_hash"] for r in rows]
+    got = archive.snapshot(spark.createDataFrame(rows, columns), F.current_timestamp())[0].collect()
+    assert [r["content_hash"] for r in got] == [min(hashes)]
+
+
 def test_archive_is_append_only(spark, tmp_path):
     raw = spark.createDataFrame([("E0", "02/09/2026", "15:00", "Arsenal", "Spurs", "2.0", "3.4", "4.0")], "Div string, Date string, Time string, HomeTeam string, AwayTeam string, B365H string, B365D string, B365A string")
     store = Store(spark, str(tmp_path / "a"))

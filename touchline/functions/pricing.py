@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Steps of bisection for the share of informed money, and the bracket it lies in.
-SHIN_STEPS = 60
+#: Newton steps for the share of informed money, and the bracket it must lie in.
+SHIN_STEPS = 12
 SHIN_LOW, SHIN_HIGH = 1e-12, 0.4
 
 
@@ -53,30 +53,32 @@ def additive(prices: Column) -> Column:
     return F.when(_usable(prices), let(F.transform(prices, implied), less))
 
 
-def _shin_at(q: Column, booksum: Column, z: Column) -> Column:
-    return F.transform(q, lambda x: (F.sqrt(z * z + 4 * (1 - z) * x * x / booksum) - z) / (2 * (1 - z)))
-
-
 def shin(prices: Column) -> Column:
-    """Probabilities with the share z of informed money such that they sum to 1, found by bisection.
+    """Probabilities with the share z of informed money such that they sum to 1.
 
-    Where the implied probabilities sum to 1 or less, or no z in the bracket does, it is the multiplicative
-    result. The result is scaled to sum to 1.
+    With c the square of an implied probability over the sum of all, z solves
+    sum(sqrt(z^2 + 4 (1 - z) c)) = 2 + (n - 2) z. The difference of both sides is convex, above zero at z = 0
+    and falls to the wanted root, so Newton's steps from 0 rise to it and never pass it. Where the implied
+    probabilities sum to 1 or less, or the root isn't in the bracket, it is the multiplicative result. The
+    result is scaled to sum to 1.
     """
 
-    def solved(q: Column, booksum: Column) -> Column:
-        over = lambda z: total(_shin_at(q, booksum, z)) - 1
-        begin = F.struct(F.lit(SHIN_LOW).alias("low"), F.lit(SHIN_HIGH).alias("high"))
+    def root(c: Column) -> Column:
+        def step(z: Column, _: Column) -> Column:
+            roots = F.transform(c, lambda x: F.sqrt(z * z + 4 * (1 - z) * x))
+            slopes = F.transform(c, lambda x: (z - 2 * x) / F.sqrt(z * z + 4 * (1 - z) * x))
+            above = total(roots) - 2 - (F.size(c) - 2) * z
+            return z - above / (total(slopes) - (F.size(c) - 2))
 
-        def step(s: Column, _: Column) -> Column:
-            middle = (s["low"] + s["high"]) / 2
-            part = lambda m: F.when(over(m) > 0, F.struct(m.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), m.alias("high")))
-            return let(middle, part)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(SHIN_STEPS)), F.lit(0.0), step)
+
+    def solved(q: Column, booksum: Column) -> Column:
+        def at(c: Column, z: Column) -> Column:
+            each = F.transform(c, lambda x: (F.sqrt(z * z + 4 * (1 - z) * x) - z) / (2 * (1 - z)))
+            return F.when((z > SHIN_LOW) & (z < SHIN_HIGH), let(each, _scaled)).otherwise(_scaled(q))
 
-        z = F.aggregate(F.sequence(F.lit(1), F.lit(SHIN_STEPS)), begin, step, lambda s: (s["low"] + s["high"]) / 2)
-        at = let(z, lambda root: let(_shin_at(q, booksum, root), _scaled))
-        bracketed = (over(F.lit(SHIN_LOW)) > 0) & (over(F.lit(SHIN_HIGH)) < 0)
-        return F.when((booksum > 1) & bracketed, at).otherwise(_scaled(q))
+        informed = let(F.transform(q, lambda x: x * x / booksum), lambda c: let(root(c), lambda z: at(c, z)))
+        return F.when(booksum > 1, informed).otherwise(_scaled(q))
 
     return F.when(_usable(prices), let(F.transform(prices, implied), lambda q: let(total(q), lambda s: solved(q, s))))
 
@@ -120,14 +122,3 @@ def is_quarter(line: Column) -> Column:
 def line_key(line: Column) -> Column:
     """Lines that are equal but for rounding; null stays null, and zero has no sign."""
     return F.bround(line, 3) + F.lit(0.0)
-
-
-def suggested_lines(mean: Column, spread: int = 2) -> Column:
-    """Half lines around an expected count."""
-    return F.transform(F.sequence(F.lit(-spread), F.lit(spread)), lambda k: F.floor(mean) + 0.5 + k)
-
-
-def handicap_lines(expected_margin: Column, spread: int = 2) -> Column:
-    """Quarter lines around minus the expected margin, rounded half to even as the quoted ones are."""
-    centre = -F.bround(expected_margin * 4, 0) / 4
-    return F.transform(F.sequence(F.lit(-spread), F.lit(spread)), lambda k: centre + k * 0.25 + 0.0)

@@ -30,12 +30,13 @@ def snapshot(raw: DataFrame, pulled_at: Column, leagues: list[str] | None = None
     """(snapshots, odds) of an upcoming-fixtures file: a row for each fixture, of repeated ones the first hash."""
     rows = season_files.fixtures(raw, leagues)
     base = rows.select("*", F.concat_ws("|", *[F.coalesce(F.col(f"_{c}").cast("string"), F.lit("")) for c in IDENTITY]).alias("_row"))
-    one = base.dropDuplicates(["_row"])
-    long = season_files.odds_long(one, "_row", "_row")
-    grouped = long.groupBy("_row").agg(F.collect_list(F.struct("bookmaker", "phase", "market", "selection", "line", "price")).alias("odds"))
-    head = one.select("_row", *[F.col(f"_{c}").alias(c) for c in IDENTITY]).join(grouped, "_row", "left")
+    one = base.withColumn("_raw", F.sha2(F.to_json(F.struct(*rows.columns)), 256)).dropDuplicates(["_raw"])
+    long = season_files.odds_long(one, "_raw", "_raw")
+    grouped = long.groupBy("_raw").agg(F.collect_list(F.struct("bookmaker", "phase", "market", "selection", "line", "price")).alias("odds"))
+    head = one.select("_row", "_raw", *[F.col(f"_{c}").alias(c) for c in IDENTITY]).join(grouped, "_raw", "left")
     nothing = F.array().cast("array<struct<bookmaker:string,phase:string,market:string,selection:string,line:double,price:double>>")
     head = head.withColumn("odds", F.coalesce("odds", nothing)).withColumn("content_hash", content_hash(F.col("odds")))
+    head = head.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("content_hash"))).where("_nth = 1")
     w = dates.collection_window(F.col("fixture_date"))
     snaps = head.select(
         "content_hash", fixture_key(F.col("league"), F.col("fixture_date"), F.col("home_team"), F.col("away_team")).alias("fixture_key"), "league", "fixture_date", "kickoff_time", "home_team", "away_team", "referee",

@@ -26,8 +26,8 @@ def features(rows: DataFrame, importance: int = IMPORTANCE, absence: int = ABSEN
     hold the match itself. With fewer than least matches before, shares are null.
     """
     order = Window.partitionBy("team").orderBy("date", "match_id", "is_home")
-    games = rows.select("team", "date", "match_id", "is_home").distinct().withColumn("at", F.row_number().over(order) - 1)
-    placed = rows.join(games, ["team", "date", "match_id", "is_home"])
+    placed = rows.withColumn("at", F.dense_rank().over(order) - 1)  # a team's appearances are few: its matches by some 14
+    games = placed.select("team", "match_id", "is_home", "at").distinct()
     spread = placed.select("team", "player_id", "minutes", "xgchain", "started", "at", F.explode(F.sequence(F.lit(1), F.lit(importance + absence))).alias("back"))
     seen = spread.select("team", (F.col("at") + F.col("back")).alias("at"), "player_id", "minutes", F.when(~F.isnan("xgchain"), F.col("xgchain")).alias("xgchain"), "started", (F.col("back") > absence).alias("earlier"))
     one = seen.groupBy("team", "at", "player_id").agg(
@@ -107,8 +107,3 @@ def reported(injuries: DataFrame, teams: list[str], day) -> DataFrame:
 
 def freshness(injuries: DataFrame) -> DataFrame:
     return injuries.groupBy("league").agg(F.max("fetched_at").alias("fetched_at"))
-
-
-def shares_or_none(column: Column) -> Column:
-    """An unknown share shifts no rate."""
-    return F.coalesce(F.when(~F.isnan(column), column), F.lit(0.0))

@@ -80,13 +80,9 @@ SELECT CONCAT('h', CAST(user_id AS STRING), '-', CAST(CAST(FLOOR(value) AS BIGIN
 FROM {events}
 """
 
-#: Rates of scoring for the score matrix: of every match, and of the tenth that the registered SQL is kept to.
-ALL_RATES = """
-SELECT CAST(o_orderkey AS STRING) AS match_id, 0.5 + (o_custkey % 20) / 10 AS lam, 0.4 + (o_orderkey % 17) / 10 AS mu, -0.05 AS rho FROM {orders}
-"""
-
+#: Rates of scoring for the score matrix, of every match.
 RATES = """
-SELECT CAST(o_orderkey AS STRING) AS match_id, 0.5 + (o_custkey % 20) / 10 AS lam, 0.4 + (o_orderkey % 17) / 10 AS mu, -0.05 AS rho FROM {orders} WHERE o_orderkey % 10 = 0
+SELECT CAST(o_orderkey AS STRING) AS match_id, 0.5 + (o_custkey % 20) / 10 AS lam, 0.4 + (o_orderkey % 17) / 10 AS mu, -0.05 AS rho FROM {orders}
 """
 
 _NESTED = {"ODDS", "PREDICTIONS"}

@@ -288,7 +288,7 @@ _CHOSEN = f"""SELECT match_id, market, selection, line,
 
 @query("chosen_prices", _CHOSEN)
 def chosen_prices(spark, d):
-    return fair.chosen_prices(lens.read(spark, d, "odds")).drop("opens")
+    return fair.chosen_prices(lens.read(spark, d, "odds"))
 
 
 @query("closing_value", f"""WITH {_FAIR_LEGS}, f AS (SELECT match_id, market, selection, line, 1 / price / SUM(1 / price) OVER (PARTITION BY match_id, market, group_line) AS p FROM best), c AS ({_CHOSEN})
@@ -382,22 +382,22 @@ def _market_sql() -> str:
 
 @query("goal_markets", _market_sql())
 def goal_markets(spark, d):
-    return _round(matrix.goal_markets(matrix.cells(lens.read(spark, d, "all_rates"), ["match_id"]), ["match_id"], handicaps=_HANDICAPS))
+    return _round(matrix.goal_markets(matrix.cells(lens.read(spark, d, "rates"), ["match_id"]), ["match_id"], handicaps=_HANDICAPS))
 
 
 @query("correct_scores", f"""WITH {_CELLS}, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY ROUND(p, 12) DESC, h, a) AS k FROM cells)
   SELECT match_id, 'correct_score' AS market, h || '-' || a AS selection, CAST(NULL AS DOUBLE) AS line, ROUND(p, 6) AS probability, CAST(0 AS DOUBLE) AS push_probability FROM k WHERE k <= 3""")
 def correct_scores(spark, d):
-    return _round(matrix.correct_scores(matrix.cells(lens.read(spark, d, "all_rates"), ["match_id"]), ["match_id"], 3))
+    return _round(matrix.correct_scores(matrix.cells(lens.read(spark, d, "rates"), ["match_id"]), ["match_id"], 3))
 
 
 @query("total_distribution", f"WITH {_CELLS} SELECT match_id, h + a AS total, ROUND(SUM(p), 6) AS p, ROUND(SUM(SUM(p * (h + a))) OVER (PARTITION BY match_id), 6) AS expected_total FROM cells GROUP BY match_id, h + a")
 def total_distribution(spark, d):
-    rows = matrix.totals(matrix.cells(lens.read(spark, d, "all_rates"), ["match_id"]), ["match_id"])
+    rows = matrix.totals(matrix.cells(lens.read(spark, d, "rates"), ["match_id"]), ["match_id"])
     return _round(rows.select("match_id", "expected_total", F.posexplode("total_pmf").alias("total", "p")))
 
 
-@query("price_offered", f"""WITH {_CELLS}, o AS (SELECT DISTINCT match_id, market, selection, line FROM {_O} AS x WHERE CAST(match_id AS BIGINT) % 10 = 0),
+@query("price_offered", f"""WITH {_CELLS}, o AS (SELECT DISTINCT match_id, market, selection, line FROM {_O} AS x),
   g AS (SELECT o.*, h, a, p, CASE WHEN selection = 'home' THEN h - a ELSE a - h END + line AS mg FROM o JOIN cells USING (match_id))
   SELECT match_id, market, selection, line, ROUND(SUM(p * CASE WHEN market = '1x2' THEN CASE WHEN (selection = 'home' AND h > a) OR (selection = 'draw' AND h = a) OR (selection = 'away' AND h < a) THEN 1 ELSE 0 END
     WHEN market = 'total_goals' THEN CASE WHEN (selection = 'over' AND h + a > line) OR (selection = 'under' AND h + a < line) THEN 1 ELSE 0 END
@@ -405,7 +405,7 @@ def total_distribution(spark, d):
   ROUND(SUM(p * CASE WHEN market = 'asian_handicap' THEN (CASE WHEN abs(mg - 0.25) <= 1e-9 THEN 1 ELSE 0 END + CASE WHEN abs(mg + 0.25) <= 1e-9 THEN 1 ELSE 0 END) / 2 ELSE 0 END), 6) AS push_probability FROM g GROUP BY match_id, market, selection, line""")
 def price_offered(spark, d):
     offered = lens.read(spark, d, "odds").select("match_id", "market", "selection", "line").distinct()
-    return _round(matrix.price_offered(matrix.cells(lens.read(spark, d, "all_rates"), ["match_id"]), offered, ["match_id"]))
+    return _round(matrix.price_offered(matrix.cells(lens.read(spark, d, "rates"), ["match_id"]), offered, ["match_id"]))
 
 
 _NB = f"""nb AS (SELECT match_id, y, CAST(exp(lgamma(y + 8.0) - lgamma(8.0) - lgamma(y + 1.0) + 8.0 * ln(8.0 / (8.0 + mean)) + y * ln(mean / (8.0 + mean))) AS DOUBLE) AS u FROM (SELECT match_id, 3 * lam AS mean FROM ({lens.sql('rates')}) AS r) AS t CROSS JOIN (SELECT unnest(range(41)) AS y) AS k),
@@ -414,14 +414,14 @@ pmf AS (SELECT match_id, y, u / SUM(u) OVER (PARTITION BY match_id) AS p FROM nb
 
 @query("count_totals", f"WITH {_NB} " + " UNION ALL ".join(f"SELECT match_id, 'total_corners' AS market, '{s}' AS selection, CAST({x} AS DOUBLE) AS line, ROUND(SUM(CASE WHEN y {op} {x} THEN p ELSE 0 END), 6) AS probability, ROUND(SUM(CASE WHEN y = {x} THEN p ELSE 0 END), 6) AS push_probability FROM pmf GROUP BY match_id" for x in (*config.CORNER_LINES, 10.0) for s, op in (("over", ">"), ("under", "<"))))
 def count_totals(spark, d):
-    rows = lens.read(spark, d, "all_rates").select("match_id", matrix.count_pmf(3 * F.col("lam"), F.lit(8.0)).alias("pmf"))
+    rows = lens.read(spark, d, "rates").select("match_id", matrix.count_pmf(3 * F.col("lam"), F.lit(8.0)).alias("pmf"))
     return _round(matrix.count_over_under(rows, ["match_id"], "pmf", "total_corners", (*config.CORNER_LINES, 10.0)))
 
 
 @query("day_picks", f"""WITH {_CELLS}, s AS (SELECT match_id, CASE WHEN h > a THEN 'home' WHEN h < a THEN 'away' ELSE 'draw' END AS pick, SUM(p) AS c FROM cells GROUP BY ALL)
   SELECT match_id, pick, ROUND(c, 6) AS confidence FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY ROUND(c, 12) DESC, pick) AS k FROM s) AS x WHERE k = 1""")
 def day_picks(spark, d):
-    return _round(matrix.day_picks(matrix.goal_markets(matrix.cells(lens.read(spark, d, "all_rates"), ["match_id"]), ["match_id"]), ["match_id"]))
+    return _round(matrix.day_picks(matrix.goal_markets(matrix.cells(lens.read(spark, d, "rates"), ["match_id"]), ["match_id"]), ["match_id"]))
 
 
 # ---- scoring ----------------------------------------------------------------------------------------------
@@ -545,7 +545,7 @@ def evidence(spark, d):
   r AS (SELECT m.*, total_goals AS g, (total_goals - mean) * (total_goals - mean) / v AS s FROM m JOIN {_M} AS x ON x.match_id = m.match_id)
   SELECT COUNT(s) AS n, ROUND(AVG(s), 6) AS dispersion, ROUND(stddev_samp(s) / sqrt(COUNT(s)), 6) AS dispersion_se, ROUND(AVG(g), 6) AS observed_mean, ROUND(AVG(mean), 6) AS predicted_mean, ROUND(var_samp(g), 6) AS observed_variance, ROUND(AVG(v), 6) AS within_match_variance, ROUND(var_samp(mean), 6) AS between_match_variance FROM r""")
 def total_fit(spark, d):
-    pmf = matrix.totals(matrix.cells(lens.read(spark, d, "all_rates"), ["match_id"]), ["match_id"])
+    pmf = matrix.totals(matrix.cells(lens.read(spark, d, "rates"), ["match_id"]), ["match_id"])
     rows = pmf.join(_matches(spark, d).select("match_id", F.col("total_goals").alias("observed_total")), "match_id")
     return _round(scoring.total_fit(rows)[0])
 
@@ -584,7 +584,7 @@ def archive_coverage(spark, d):
     return _round(archive.coverage(_snapshots(spark, d), "2024-01-16").drop("first_pull", "last_pull"))
 
 
-_SHIFTED = f"SELECT 's' || match_id AS content_hash, league, home_team, away_team, CAST(date + CAST(CAST(match_id AS BIGINT) % 5 - 2 AS INT) AS DATE) AS fixture_date FROM {_M} AS m WHERE CAST(match_id AS BIGINT) % 3 = 0"
+_SHIFTED = f"SELECT 's' || match_id AS content_hash, league, home_team, away_team, CAST(date + CAST(CAST(match_id AS BIGINT) % 5 - 2 AS INT) AS DATE) AS fixture_date FROM {_M} AS m"
 
 
 @query("reconcile_band_join", f"""WITH s AS ({_SHIFTED}), m AS {_M}, j AS (SELECT content_hash, match_id, ROW_NUMBER() OVER (PARTITION BY content_hash ORDER BY abs(fixture_date - date), date, match_id) AS k FROM s JOIN m USING (league, home_team, away_team) WHERE abs(fixture_date - date) <= 1)
@@ -651,7 +651,7 @@ def asof_nearest(spark, d):
     return availability.nearest(left, right, "team", "date", "fixture_date").select("match_id", "team", "fixture_date", "out")
 
 
-@query("weekly_buckets", f"""SELECT match_id, league, b AS bucket, MIN(date) OVER (PARTITION BY league, b) AS as_of FROM (SELECT *, CAST(floor((date - DATE '1998-01-01') / 7) AS BIGINT) AS b FROM {_M} AS m WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30') AS x""")
+@query("weekly_buckets", f"""SELECT match_id, league, b AS bucket, MIN(date) OVER (PARTITION BY league, b) AS as_of FROM (SELECT *, CAST(floor((date - MIN(date) OVER ()) / 7) AS BIGINT) AS b FROM {_M} AS m) AS x""")
 def weekly_buckets(spark, d):
     m = _matches(spark, d)
     return walk.bucketed(m, _whole_walk(m)).select("match_id", "league", "bucket", "as_of")

@@ -35,7 +35,7 @@ def valued(snapshots: DataFrame, odds: DataFrame, fitted: DataFrame, evidence: D
     rated = fits.rates(fixtures, fitted.where("intercept is not null"), ["league"])
     cell = matrix.cells(rated, ["content_hash"]).withColumnRenamed("content_hash", "match_id")
     mine = odds.join(now.select("content_hash"), "content_hash", "left_semi").withColumnRenamed("content_hash", "match_id")
-    chosen = fair.compared(fair.chosen_prices(mine), fair.fair_probabilities(mine, method)).drop("opens")
+    chosen = fair.compared(fair.chosen_prices(mine), fair.fair_probabilities(mine, method))
     priced = matrix.price_offered(cell, chosen, ["match_id"]).where("probability > 0 and price_taken is not null")
     rows = priced.withColumnRenamed("match_id", "content_hash").join(rated, "content_hash")
     ev = pricing.expected_value(F.col("probability"), F.col("price_taken"), F.col("push_probability"))

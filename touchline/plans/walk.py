@@ -69,7 +69,7 @@ def predictions(matches: DataFrame, odds: DataFrame | None, w: Walk, fitted: Dat
     parts = []
     if odds is not None:
         mine = odds.join(rated.select("match_id"), "match_id", "left_semi")
-        chosen = fair.closing_value(fair.compared(fair.chosen_prices(mine), fair.fair_probabilities(mine, w.method, w.preference, w.fallback)))
+        chosen = fair.closing_value(fair.compared(fair.chosen_prices(mine, books=True), fair.fair_probabilities(mine, w.method, w.preference, w.fallback)))
         parts.append(matrix.price_offered(cell, chosen, ["match_id"]).where("probability > 0").withColumn("priceless", F.lit(False)))
     if w.calibrate:
         own = matrix.goal_markets(cell, ["match_id"], handicaps=(-0.5, -0.25, 0.0, 0.25, 0.5)).withColumn("priceless", F.lit(True))
