@@ -11,6 +11,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from touchline.llm import components, decontamination, fixity, language, neighbours, packing, quality, secrets, simhash, substring, token_counts
 from touchline.llm.bpe import encoder, vocabulary_path
 from touchline.llm.common import Words, work_dir
@@ -330,6 +332,25 @@ def test_fixity(spark):
     assert fixity.archive(pages.limit(0)).count() == 0
 
 
+def test_fixity_one_fault_is_one_row(spark):
+    """A fault that changes a record's length, a record that is truly lost and one that is added shift what follows."""
+    r = random.Random(3)
+    rows = [(k, "http://h", ("é" if k % 97 == 13 else "<") + "x" * r.randint(0, 9000)) for k in range(900)]
+    schema = "page_id bigint, url string, html string"
+    named = lambda x: fixity.archive(spark.createDataFrame(x, schema)).select("file", F.col("page_id").alias("id"), "offset", "digest").cache()
+    a = named(rows)
+    assert fixity.depth(a) > 2
+    assert sorted(x["id"] for x in fixity.audit(a, named([(k, u, h + "é" * (k in (7, 400))) for k, u, h in rows])).collect()) == [7, 400]
+    lost = fixity.audit(a, named([x for x in rows if x[0] != 100])).collect()
+    assert [(x["id"], x["other_digest"], x["other_offset"]) for x in lost] == [(100, None, None)] and lost[0]["offset"] > 0
+    more = fixity.audit(a, named([*rows, (100, "http://h", "again"), (None, None, None)])).collect()
+    assert sorted((x["id"] or 0, x["digest"]) for x in more) == [(0, None), (100, None)]
+    gone = fixity.audit(a, a.where("file <> 'pages-1'"))
+    assert gone.count() == 900 - 512 and gone.where("other_digest is not null").count() == 0
+    spoilt = fixity.archive(fixity.damaged(spark.createDataFrame(rows, schema))).select("file", F.col("page_id").alias("id"), "offset", "digest")
+    assert sorted(x["id"] for x in fixity.audit(a, spoilt).collect()) == [k for k in range(900) if k % 97 == 13]
+
+
 def test_pipeline_stages(spark, docs, texts, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
