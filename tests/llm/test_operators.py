@@ -315,6 +315,29 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
 
+def test_substring_compares_words(spark):
+    """Texts that polynomial hashes modulo a power of two can't tell apart: a Thue-Morse string and its complement."""
+    morse = [bin(k).count("1") % 2 for k in range(1024)]
+    same = " ".join(f"w{k}" for k in range(49))
+    one, other = ("".join("ab"[x ^ flip] for x in morse) for flip in (0, 1))
+    rows = [(1, f"{same} {one}"), (2, f"{same} {other}"), (3, " ".join("xy"[x] for x in morse[:60])), (4, " ".join("yx"[x] for x in morse[:60]))]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        held = {tuple(x.split()[k : k + 50]) for j, x in rows if j < i for k in range(len(x.split()) - 49)}
+        want[i] = len({k + j for k in range(len(w) - 49) if tuple(w[k : k + 50]) in held for j in range(50)})
+    assert {r["doc_id"]: r["n_removed"] for r in got} == want and want[2] == 0
+
+
+def test_substring_answers_within_a_chunk():
+    code, ids = np.array([5, 5, 5, 5, 9, 9, 7, 7, 7]), np.array([3, 1, 2, 2, 4, 6, 8, 8, 9])
+    block = np.array([True, False, True, False, False, False, True, False, False])
+    index, probe, known = (sorted(zip(code[x].tolist(), ids[x].tolist())) for x in substring._answered(code, ids, block))
+    assert index == [(5, 2), (7, 8)] and known == [(5, 2), (5, 3), (7, 8), (7, 9)]
+    assert probe == [(5, 1), (5, 2), (7, 8), (9, 4), (9, 6)]
+
+
 def test_fixity(spark):
     rows = [(k, f"http://h/{k}", "x" * (k % 90 * 40)) for k in range(1500)] + [(None, None, None), (5, None, "again"), (5, None, "again")]
     pages = spark.createDataFrame([(*r, "f", 1) for r in rows], "page_id bigint, url string, html string, file string, offset int")

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,6 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="touchline-"))
-
-
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps whose results are written and no longer referred to."""
     gc.collect()
@@ -81,7 +77,8 @@ class Words:
     """Words [^\\x20\\x09-\\x0D]+ of many texts at once, with hashes of any run of consecutive words.
 
     doc: the text of each word. A run's hash depends on the words alone, not on the white space or
-    the text that holds it.
+    the text that holds it: each distinct word is hashed by XXH64, and hashes of neighbouring runs are
+    joined and mixed, doubling their length, so that no pattern of letters or words cancels out.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -90,31 +87,45 @@ class Words:
         self.counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         self.doc = np.repeat(np.arange(len(split)), self.counts)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        flat = [w for words in split for w in words]
-        self.n = len(flat)
-        self.raw = np.frombuffer(b" ".join(flat) + b" ", dtype=np.uint8)
-        lengths = np.fromiter(map(len, flat), dtype=np.int64, count=self.n)
-        ends = np.cumsum(lengths + 1)
-        self.starts, self.ends = ends - lengths - 1, ends
-        self._sums: dict[int, np.ndarray] = {}
-        self._back: np.ndarray | None = None
-
-    def _sum(self, salt: int) -> np.ndarray:
-        if salt not in self._sums:
-            table = np.random.default_rng(8191 + salt).integers(1, 1 << 63, 256, dtype=np.uint64)
-            terms = table[self.raw]
-            terms *= powers(len(self.raw), _ODD)
-            self._sums[salt] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
-        return self._sums[salt]
+        self.flat = [w for words in split for w in words]
+        self.n = len(self.flat)
+        self._coded = None
+        self._runs: dict[tuple[int, int], np.ndarray] = {}
+
+    def _double(self, k: int, salt: int) -> np.ndarray:
+        """Hashes of the k words from each position; k is a power of two. Beyond the last word there are none."""
+        if (k, salt) not in self._runs:
+            if k == 1:
+                from xxhash import xxh64_intdigest
+
+                if self._coded is None:
+                    coded = pa.array(self.flat, pa.binary()).dictionary_encode()
+                    self._coded = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                at, distinct = self._coded
+                self._runs[k, salt] = np.fromiter((xxh64_intdigest(w, salt) for w in distinct), dtype=np.uint64, count=len(distinct))[at]
+            else:
+                half = self._double(k // 2, salt)
+                self._runs[k, salt] = joined(half[: max(len(half) - k // 2, 0)], half[k // 2 :])
+        return self._runs[k, salt]
 
     def runs(self, k: int, at: np.ndarray, salt: int = 0) -> np.ndarray:
         """64-bit hashes of the k words from each position in at; salts give independent hashes."""
+        out, begin = None, 0
         if not len(at):
             return np.zeros(0, np.uint64)
-        if self._back is None:
-            self._back = powers(len(self.raw) + 1, _ODD_INVERSE)
-        total, s = self._sum(salt), self.starts[at]
-        return mixed((total[self.ends[at + k - 1]] - total[s]) * self._back[s])
+        for bit in reversed(range(k.bit_length())):
+            if k >> bit & 1:
+                part = self._double(1 << bit, salt)[at + begin]
+                out, begin = part if out is None else joined(out, part), begin + (1 << bit)
+        return out
+
+    def digests(self, k: int, at: np.ndarray, size: int) -> bytes:
+        """BLAKE2b digests of size bytes of the k words from each position in at, space-joined, one after another."""
+        lengths = np.fromiter(map(len, self.flat), dtype=np.int64, count=self.n)
+        ends = np.cumsum(lengths + 1)
+        raw = memoryview(b" ".join(self.flat))
+        starts, stops = (ends - lengths - 1)[at].tolist(), (ends - 1)[at + k - 1].tolist()
+        return b"".join([blake2b(raw[a:b], digest_size=size).digest() for a, b in zip(starts, stops)])
 
     def whole(self, k: int) -> np.ndarray:
         """Positions from which k consecutive words lie in one text."""
@@ -122,6 +133,11 @@ class Words:
         return np.flatnonzero(room >= k)
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two runs that follow each other."""
+    return mixed(a * _ODD + b)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finaliser: all bits of h reach all bits of the result."""
     h = h ^ (h >> np.uint64(33))

@@ -3,11 +3,13 @@
 Every document is cut into blocks of ANCHOR words that don't overlap, and the blocks are indexed with the
 smallest document that holds them. Each run of ANCHOR consecutive words of every document probes the index.
 A window of WINDOW words holds a whole block wherever it lies, so of two documents that share a window the
-smaller has a block in it, which the larger one hits. A hit is then extended: every window around it is
-compared, by a 96-bit key of all its words, with the windows around the other documents' hits, and adjoining
-windows that repeat make up the maximal repeat.
+smaller has a block in it, which the larger one hits. A hit is then extended word by word to the windows that
+hold it. A window is compared with those around the other documents' hits by a cryptographic digest of its
+words, and adjoining windows that repeat make up the maximal repeat.
 
-Both comparisons travel as packed arrays, one row for each bucket of hashes and chunk of text.
+Both comparisons travel as packed arrays, one row for each bucket of hashes and chunk of text. What a chunk can
+answer itself, because a smaller document in it has the same block or window, it answers: however many copies a
+passage has, a chunk sends it on once.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ ANCHOR = (WINDOW + 1) // 2
 
 _PACKED = "bucket int, kind int, docs binary, counts binary, keys binary, at binary"
 _KEY = np.dtype([("low", "<u4"), ("high", "<u8")])
+#: A window's digest: the key it is compared by, and what its bucket is drawn from.
+_DIGEST = np.dtype([("low", "<u4"), ("high", "<u8"), ("bucket", "<u4")])
 
 
 def _bucketed(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,7 +37,7 @@ def _bucketed(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(kind: int, n: int, bucket, doc, docs: np.ndarray, keys, at=None) -> list[tuple]:
-    """Rows of _PACKED; doc gives each key's row of docs."""
+    """Rows of _PACKED; doc gives each key's row of docs, in order."""
     order, cut = _bucketed(bucket, n)
     doc, keys = doc[order], keys[order]
     at = at[order].astype("<u4") if at is not None else None
@@ -64,6 +68,34 @@ def _anchors(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return at, ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def _groups(keys: tuple, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by keys, then ids; the bounds of equal keys in it; and each group's number, in that order."""
+    order = np.lexsort((ids, *keys))
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    return order, np.concatenate([[0], np.flatnonzero(new)]), np.cumsum(new)
+
+
+def _answered(code: np.ndarray, ids: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a chunk by what is to be done with them: blocks to index and probes to send, one of each for a
+    document and code, and rows whose hit the chunk knows."""
+    order, first, group = _groups((code,), ids)
+    i, b = ids[order], block[order]
+    top = np.iinfo(np.int64).max
+    least = np.minimum.reduceat(np.where(b, i, top), first)[group]  # the smallest document with the block
+    met = i > least
+    crowd = np.zeros(len(first), bool)
+    crowd[group[met]] = True
+    again = np.zeros(len(order), bool)
+    again[1:] = (group[1:] == group[:-1]) & (i[1:] == i[:-1])
+    one = ~again  # a document's other rows of the code add nothing
+    holds = np.zeros(len(order), bool)
+    at = np.flatnonzero(one)
+    holds[at] = np.logical_or.reduceat(b, at) & (i[at] == least[at])
+    return np.sort(order[holds]), np.sort(order[one & ~met]), np.sort(order[one & (met | (crowd[group] & (i == least)))])
+
+
 def hits(docs: DataFrame, buckets: int) -> DataFrame:
     """(id, code): the anchors of a document (id, mark, text) that a smaller one has as a block, and the
     smallest document's own anchors that another hits."""
@@ -77,7 +109,9 @@ def hits(docs: DataFrame, buckets: int) -> DataFrame:
                 continue
             bucket, low, doc = code >> 32, (code & 0xFFFFFFFF).astype("<u4"), words.doc[at]
             block = (at - words.first[doc]) % ANCHOR == 0
-            yield _batch(_pack(0, buckets, bucket[block], doc[block], ids, low[block]) + _pack(1, buckets, bucket, doc, ids, low))
+            index, probe_, known = _answered(code, ids[doc, 0], block)
+            rows = _pack(0, buckets, bucket[index], doc[index], ids, low[index]) + _pack(1, buckets, bucket[probe_], doc[probe_], ids, low[probe_])
+            yield _batch(rows + _pack(2, buckets, bucket[known], doc[known], ids, low[known]))
 
     def meet(batches):
         def found(doc, low, bucket):
@@ -94,6 +128,9 @@ def hits(docs: DataFrame, buckets: int) -> DataFrame:
             if kind == 0:
                 index.append((low, doc))
                 continue
+            if kind == 2:
+                yield found(doc, low, bucket)
+                continue
             if known is None:
                 if not index:
                     continue
@@ -135,11 +172,16 @@ def repeats(docs: DataFrame, buckets: int) -> DataFrame:
             full = words.whole(WINDOW)
             full = full[reach[full + WINDOW - ANCHOR + 1] > reach[full]]
             if len(full):
+                digests = np.frombuffer(words.digests(WINDOW, full, _DIGEST.itemsize), _DIGEST)
                 keys = np.empty(len(full), _KEY)
-                other = words.runs(WINDOW, full, 2)
-                keys["high"], keys["low"] = words.runs(WINDOW, full, 1), other & np.uint64(0xFFFFFFFF)
+                keys["high"], keys["low"] = digests["high"], digests["low"]
                 doc = words.doc[full]
-                yield _batch(_pack(0, buckets, ((other >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), doc, ids, keys, full - words.first[doc]))
+                order, first, group = _groups((digests["low"], digests["high"]), ids[doc, 0])
+                known = np.zeros(len(full), bool)
+                known[order] = ids[doc[order], 0] > ids[doc[order[first]], 0][group]  # a smaller one of the chunk has it
+                ask, place = ~known, full - words.first[doc]
+                rows = _pack(0, buckets, (digests["bucket"][ask] % buckets).astype(np.int64), doc[ask], ids, keys[ask], place[ask])
+                yield _batch(rows + _pack(1, buckets, _unit(ids, buckets)[doc[known]], doc[known], ids, np.zeros(int(known.sum()), "V0"), place[known]))
 
     def compare(batches):
         def done(parts):
@@ -157,7 +199,10 @@ def repeats(docs: DataFrame, buckets: int) -> DataFrame:
             return _batch(_pack(0, buckets, unit, np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(docs)])), docs[first], np.zeros(len(at), "V0"), at)) if len(docs) else None
 
         now, parts = None, []
-        for bucket, _, docs, counts, keys, at in _rows(batches, 2):
+        for bucket, kind, docs, counts, keys, at in _rows(batches, 2):
+            if kind == 1:  # found already; bucket is the unit
+                yield _batch([(bucket, 0, docs.tobytes(), counts.tobytes(), b"", at.tobytes())])
+                continue
             if bucket != now and parts:
                 if (out := done(parts)) is not None:
                     yield out
