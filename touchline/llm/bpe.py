@@ -3,7 +3,7 @@
 The library splits a text into pieces (letters, digits, other marks, white space; a space joins the piece
 after it) and merges bytes within a piece only. So the ids of a text are those of its pieces, and a piece
 that was met before needs no second encoding. Pieces are found with whole-array operations for texts of
-Latin characters; all others, and texts with contractions or special strings, go to the library whole.
+Latin characters and looked up by a hash, after which their characters are compared with the known piece's; all others, and texts with contractions or special strings, go to the library whole.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def merger(path: str):
     hidden = [b for b in range(256) if b not in set(printed)]
     byte_of = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(hidden)}
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocab.items() if i < 256 + len(merges)}
-    return tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class Encoder:
@@ -104,24 +104,32 @@ class Encoder:
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
-        self.n = self.used = 0
+        self.spelt = np.zeros(1 << 16, np.int64)  # where a piece's characters begin in letters
+        self.letters = np.zeros(1 << 18, np.uint16)
+        self.n = self.used = self.written = 0
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """Numbers of new pieces."""
         if self.single:
-            got = [self.single(p.encode()) for p in pieces]
+            got = [self.single(p) for p in pieces]
         else:
             got = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         m, more = len(got), int(lengths.sum())
         while self.n + m > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.spelt = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.spelt))
         while self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.length[self.n : self.n + m] = lengths
         self.start[self.n : self.n + m] = self.used + np.cumsum(lengths) - lengths
         self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=more)
-        self.n, self.used = self.n + m, self.used + more
+        codes = np.frombuffer("".join(pieces).encode("utf-16-le"), dtype=np.uint16)
+        while self.written + len(codes) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.letters[self.written : self.written + len(codes)] = codes
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=m)
+        self.spelt[self.n : self.n + m] = self.written + np.cumsum(sizes) - sizes
+        self.n, self.used, self.written = self.n + m, self.used + more, self.written + len(codes)
         return np.arange(self.n - m, self.n)
 
     def _look(self, keys: np.ndarray) -> np.ndarray:
@@ -186,6 +194,13 @@ class Encoder:
             one = new[one]
             self._store(keys[one], self._learn([big[a:b] for a, b in zip(at[one].tolist(), end[one].tolist())]))
             number[new] = self._look(keys[new])
+        # What a hash found must be spelt like it; pieces tile the text, so their characters stand in order.
+        number[long] = 0
+        size, shown = end - at, codes[kind != EDGE]
+        offset = np.repeat(self.spelt[number] - (np.cumsum(size) - size), size) + np.arange(len(shown))
+        wrong = self.letters[np.minimum(offset, len(self.letters) - 1)] != shown
+        if wrong.any():
+            long[np.repeat(np.arange(len(at)), size)[wrong]] = True
         for i in np.flatnonzero(long).tolist():
             piece = big[at[i] : end[i]]
             if piece not in self.long:
