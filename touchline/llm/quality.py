@@ -65,19 +65,24 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 @dataclass
 class Discriminant:
-    """Two Gaussians with their Cholesky factors; shares only where a class has too few rows to fit one."""
+    """Two Gaussians with their Cholesky factors; shares only where a class has too few rows to fit one.
+
+    The factors are inverted once, so that a batch's Mahalanobis distances are one matrix product."""
 
     prior: float
     means: np.ndarray | None = None
     factors: np.ndarray | None = None
 
+    def __post_init__(self):
+        self.inverses = None if self.factors is None else np.linalg.inv(self.factors)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """The probability of label 1 of each row of x."""
         if self.means is None:
             return np.full(len(x), self.prior)
         density = []
-        for mean, factor in zip(self.means, self.factors):
-            away = np.linalg.solve(factor, (x - mean).T)
+        for mean, factor, inverse in zip(self.means, self.factors, self.inverses):
+            away = inverse @ (x - mean).T
             density.append(-0.5 * (away**2).sum(axis=0) - np.log(np.diag(factor)).sum())
         odds = np.log(self.prior / (1 - self.prior)) + density[1] - density[0]
         return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
@@ -133,7 +138,8 @@ def scored(x: DataFrame, model: Discriminant, id_col: str = "doc_id", threshold:
 
 
 def keep_good(docs: DataFrame, model: Discriminant, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text scores threshold or more, as they are; nothing is shuffled."""
+    """The rows of docs whose text scores threshold or more, as they are; nothing is shuffled. A null text is scored
+    as the empty one, equal texts score alike, and no rows give no rows."""
     at = docs.columns.index(text_col)
 
     def run(batches):
