@@ -33,10 +33,12 @@ def _shingles(normalised: Column, lengths: list[int]) -> Column:
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, words, shingles): an item of fewer than SHINGLE words is one shingle; one of none is left out."""
+    """(item, item_id, words, shingles): an item of fewer than SHINGLE words is one shingle; one of none is left out.
+
+    item is a key of id and text, never null. Should two items share it, both are verified."""
     rows = benchmark.select(F.col(item_col).alias("item_id"), _normalised(F.col(text_col)).alias("norm")).where("norm <> ''").distinct()
     n = F.least(F.size(F.split("norm", " ")), F.lit(SHINGLE))
-    return rows.select("item_id", n.alias("words"), F.array_distinct(F.when(n < SHINGLE, F.array("norm")).otherwise(_shingles(F.col("norm"), [SHINGLE]))).alias("shingles"))
+    return rows.select(F.xxhash64("item_id", "norm").alias("item"), "item_id", n.alias("words"), F.array_distinct(F.when(n < SHINGLE, F.array("norm")).otherwise(_shingles(F.col("norm"), [SHINGLE]))).alias("shingles"))
 
 
 def _wanted(n: Column) -> Column:
@@ -44,19 +46,19 @@ def _wanted(n: Column) -> Column:
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """(hash, item_id, least): the bottom-k hashes of each item; least is the fewest shingles of a document with it."""
+    """(hash, item, least): the bottom-k hashes of each item; least is the fewest shingles of a document with it."""
     n = F.size("shingles")
-    sized = items.select("item_id", n.alias("n"), F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s))).alias("hashes"), F.floor(F.log2(n)).alias("part"))
+    sized = items.select("item", n.alias("n"), F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s))).alias("hashes"), F.floor(F.log2(n)).alias("part"))
     upper = F.greatest(F.pow(F.lit(2), F.col("part") + 1).cast("int") - 1, F.col("n"))  # logarithms may round down
     k = upper - _wanted(upper) + 1
-    return sized.select("item_id", _wanted(F.col("n")).alias("least"), F.explode(F.slice("hashes", F.lit(1), k)).alias("hash"))
+    return sized.select("item", _wanted(F.col("n")).alias("least"), F.explode(F.slice("hashes", F.lit(1), k)).alias("hash"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, containment), distinct: the items of which a row of docs has CONTAINMENT or more.
 
     Text is compared by its lower-cased letters and digits. Null and empty texts hold and are nothing. Rows
-    and items that repeat give one result; a null id is reported as null. No rows or no items give no rows;
+    and items that repeat give one result; a null id, of a row or of an item, is reported as null. No rows or no items give no rows;
     other columns are ignored.
     """
     spark = docs.sparkSession
@@ -69,11 +71,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text).cast("string")).alias("key"), text.alias("text"))
     cut = rows.select("key", _shingles(_normalised(F.col("text")), lengths).alias("shingles"))
     probes = cut.select("key", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")).select("key", "size", F.xxhash64("shingle").alias("hash"))
-    pairs = probes.join(F.broadcast(sketch) if few else sketch, "hash").where("size >= least").select("key", "item_id").distinct()
+    pairs = probes.join(F.broadcast(sketch) if few else sketch, "hash").where("size >= least").select("key", "item").distinct()
     candidates = written(pairs, f"{work}/candidates")
     # The candidates are written, so their size is known: few are broadcast to the texts, many are joined by a shuffle.
     found = rows.join(candidates.select("key").distinct(), "key", "left_semi").select("id", "key", F.array_distinct(_shingles(_normalised(F.col("text")), lengths)).alias("held"))
-    both = found.join(candidates, "key").join(items, "item_id")
+    both = found.join(candidates, "key").join(items, "item")
     share = F.size(F.array_intersect("held", "shingles")) / F.size("shingles")
     wanted = both.select("id", "item_id", share.alias("containment")).where(F.col("containment") >= CONTAINMENT - 1e-9)
     return wanted.distinct().withColumnRenamed("id", id_col)
