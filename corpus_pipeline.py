@@ -14,36 +14,45 @@ from touchline.llm.common import work_dir, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject. It learns from the labels of docs, save those held out."""
+    """Documents that the quality classifier doesn't reject. It learns from the labels of docs, save those held out.
+
+    A null text is scored as the empty one; rows that repeat, and rows without an id, are judged by their text
+    like any other. Without labels of both classes nothing is rejected that the share of label 1 wouldn't. No rows
+    give no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     x = written(quality.features(docs), f"{work_dir(spark)}/features")
     return quality.keep_good(docs, quality.fit(x, labels))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, a Jaccard similarity of 0.8 or more) the document with
-    the smallest id, once. Documents without an id are in no group and stay."""
-    groups = similar.groups(docs.where("doc_id is not null"))
-    others = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), f"{work_dir(spark)}/others")
-    kept = docs.where("doc_id is not null").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near-duplicates the row with the smallest id, once.
+
+    Close SimHash fingerprints and shared minima of shingles are candidates; five-word shingles with a Jaccard
+    similarity of 0.8 or more make the groups. Rows that share an id but not their text are different documents;
+    rows without an id are grouped by text, after those with one. Rows with neither id nor words stay.
+    """
+    return similar.one_of_each(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item. Those without an id are told by their text."""
-    named = docs.withColumn("_decontamination_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("text").cast("string"))))
-    found = decontamination.contaminated(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_decontamination_key")
-    keys = written(found.select("_decontamination_key").distinct(), f"{work_dir(spark)}/contaminated")
-    return named.join(keys, "_decontamination_key", "left_anti").select(docs.columns)
+    """Documents that hold no benchmark item. A document is known by its text, so equal texts share their fate and
+    rows that only share an id don't. Null and empty texts hold nothing and stay; without items all stay."""
+    named = docs.withColumn("_text", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    found = decontamination.contaminated(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_text")
+    keys = written(found.select("_text").distinct(), f"{work_dir(spark)}/contaminated")
+    return named.join(keys, "_text", "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced; n_chars follows."""
+    """All documents, their secrets replaced; n_chars follows. Null and empty texts stay as they are, repeated rows
+    and rows without an id are treated alike, and no rows give no rows."""
     return secrets.redacted(docs, secrets.train(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of tokens."""
+    """The pieces of all documents in sequences of tokens. A null or empty text is its closing id alone; repeated
+    rows and rows without an id have pieces of their own; no rows give no rows."""
     return packing.digests(packing.pack(docs))
 
 

@@ -61,3 +61,12 @@ def test_stage_drops_a_copy_of_similarity_above_the_limit(spark, tmp_path):
     assert copies and len(shingles(one) & shingles(copies[0])) >= 0.8 * len(shingles(one) | shingles(copies[0]))
     df = spark.createDataFrame([(1, one), (2, copies[0])], "doc_id bigint, text string")
     assert [x["doc_id"] for x in corpus_pipeline.one_of_each(spark, df, str(tmp_path)).collect()] == [1]
+
+
+def test_rows_that_share_an_id_are_different_documents(spark):
+    text = {x: " ".join(f"{x}{k}" for k in range(30)) for x in "abcd"}
+    rows = [(1, text["a"]), (5, text["b"]), (5, text["c"]), (7, text["a"]), (7, text["d"]), (None, text["d"]), (None, "no id"), (None, "No  id"), (None, None), (None, " ")]
+    got = [tuple(r) for r in similar.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(r for r in got if r[0]) == [(1, text["a"]), (5, text["b"]), (5, text["c"]), (7, text["d"])]
+    alone = [t for i, t in got if i is None]
+    assert len(alone) == 3 and None in alone and " " in alone and len({"no id", "No  id"} & set(alone)) == 1

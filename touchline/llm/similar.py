@@ -1,9 +1,10 @@
 """Near-duplicates by similarity: texts whose sets of word shingles have a Jaccard similarity of JACCARD or more.
 
-Candidates share a band of ROWS minima of hashed shingles (MinHash); a pair at JACCARD shares none of BANDS
-bands in three of a million cases. A 64-bit SimHash can't serve here: at a Jaccard of 0.8 about ten bits differ,
-and a limit that holds nearly all such pairs, about twenty, no longer tells texts apart. Every link is verified
-by the shingle sets themselves; the groups are the components of all links.
+The verified form of the SimHash operator, for stages that need a similarity. The components of close
+fingerprints are its first candidates. They aren't enough: at a Jaccard of 0.8 about ten of 64 bits differ, and a
+limit that holds nearly all such pairs, about twenty, no longer tells texts apart. So texts that share a band of
+ROWS minima of hashed shingles are candidates too; a pair at JACCARD shares none of BANDS bands in three of a
+million cases. Every link is verified by the shingle sets themselves; the groups are the components of all links.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, in_chunks, mixed, texts_of, work_dir, written
 from .components import components
+from .simhash import near_duplicates
 
 SHINGLE = 5
 JACCARD = 0.8
@@ -77,8 +79,9 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], jaccard: float = JACCARD)
     return nodes[pairs[:, 0]], nodes[pairs[:, 1]]
 
 
-def links(docs: DataFrame, shingle: int = SHINGLE, jaccard: float = JACCARD) -> DataFrame:
-    """(a, b): links between nodes of docs (node, text) whose components are those of all verified links."""
+def links(docs: DataFrame, shingle: int = SHINGLE, jaccard: float = JACCARD, more: DataFrame | None = None) -> DataFrame:
+    """(a, b): links between nodes of docs (node, text) whose components are those of all verified links. more
+    (node, band) are candidates beside the bands' own."""
     work = work_dir(docs.sparkSession)
 
     def band_rows(batches):
@@ -112,7 +115,8 @@ def links(docs: DataFrame, shingle: int = SHINGLE, jaccard: float = JACCARD) ->
         if rows:
             yield done(rows)
 
-    every = written(docs.select("node", "text").mapInArrow(band_rows, "node bigint, band bigint").distinct(), f"{work}/bands")
+    every = docs.select("node", "text").mapInArrow(band_rows, "node bigint, band bigint")
+    every = written((every.unionByName(more.select("node", "band")) if more is not None else every).distinct(), f"{work}/bands")
     # Buckets of the same texts are one: its name is the smallest band.
     shared = every.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     shared = shared.where("n > 1").groupBy("n", "x", "y").agg(F.min("band").alias("band"))
@@ -127,11 +131,49 @@ def links(docs: DataFrame, shingle: int = SHINGLE, jaccard: float = JACCARD) ->
     return written(rows.mapInArrow(run, "a bigint, b bigint"), f"{work}/links")
 
 
+def close_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(node, band): the component of close SimHash fingerprints of each node of docs (node, text)."""
+    return near_duplicates(docs, "node", "text", shingle).select("node", F.xxhash64(F.lit("simhash"), "component_id").alias("band"))
+
+
+def roots(docs: DataFrame, shingle: int = SHINGLE, jaccard: float = JACCARD) -> DataFrame:
+    """(node, root) of the nodes of docs (node, text), but for those that are their own root."""
+    close = written(close_fingerprints(docs, shingle).distinct(), f"{work_dir(docs.sparkSession)}/close")
+    return components(links(docs, shingle, jaccard, close))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, jaccard: float = JACCARD) -> DataFrame:
-    """(id, component_id) of every row: the smallest id that links reach. Texts without words are one group."""
+    """(id, component_id) of every row: the smallest id that links reach. Texts without words are one group.
+
+    A null id is never the smallest; a group of null ids alone has a null component_id. Repeated rows get a row
+    each; no rows give no rows; other columns are ignored.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), node(F.col(text_col)).alias("node"))
-    roots = components(links(rows, shingle, jaccard)).withColumnRenamed("node", "_node")
-    rooted = rows.select("id", "node").join(roots, F.col("node") == F.col("_node"), "left").select("id", F.coalesce("root", "node").alias("root"))
+    reached = roots(rows, shingle, jaccard).withColumnRenamed("node", "_node")
+    rooted = rows.select("id", "node").join(reached, F.col("node") == F.col("_node"), "left").select("id", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, f"{work_dir(docs.sparkSession)}/rooted")
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     return rooted.join(least, "root").select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, jaccard: float = JACCARD) -> DataFrame:
+    """docs with one row of each group, the one with the smallest id, null last; of several with that id and
+    different columns the one whose digest is least. Of rows equal in all columns one stays.
+
+    A row is known by the digest of all its columns, so rows that only share an id are told apart, and rows
+    without an id are grouped by their text like others. A row with neither id nor words is in no group and
+    stays. The rows of one text are reduced to the first before texts are grouped, so a text's copies, however
+    many, meet in partial aggregation only. No rows give no rows.
+    """
+    words = F.trim(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")) != ""
+    outside = F.col(id_col).isNull() & ~words
+    key = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256))
+    rows = docs.where(~outside).select("*", key.alias("_row"), node(F.col(text_col)).alias("_node"))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("first")
+    texts = written(rows.groupBy("_node").agg(first), f"{work_dir(docs.sparkSession)}/texts")
+    found = roots(rows.select(F.col("_node").alias("node"), F.col(text_col).cast("string").alias("text")), shingle, jaccard)
+    kept = texts.join(found, F.col("_node") == F.col("node"), "left").groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min("first").alias("first"))
+    kept = written(kept.select(F.col("first.row").alias("_row")), f"{work_dir(docs.sparkSession)}/kept")
+    # One dealing of the rows by digest serves the join and the removal of equal rows.
+    stay = rows.repartition("_row").join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+    return stay.unionByName(docs.where(outside))
