@@ -58,8 +58,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item_id, containment), distinct: the items of which a row of docs has CONTAINMENT or more.
 
     Text is compared by its lower-cased letters and digits. Null and empty texts hold and are nothing. Rows
-    and items that repeat give one result; a null id, of a row or of an item, is reported as null. No rows or no items give no rows;
-    other columns are ignored.
+    and items that repeat give one result; a null id, of a row or of an item, is reported as null. No rows or no
+    items give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     work = work_dir(spark)
@@ -68,14 +68,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sketch = written(sketches(items).distinct(), f"{work}/sketch")
     few = sketch.count() <= BROADCAST_ROWS
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text).cast("string")).alias("key"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     cut = rows.select("key", _shingles(_normalised(F.col("text")), lengths).alias("shingles"))
     probes = cut.select("key", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")).select("key", "size", F.xxhash64("shingle").alias("hash"))
     pairs = probes.join(F.broadcast(sketch) if few else sketch, "hash").where("size >= least").select("key", "item").distinct()
     candidates = written(pairs, f"{work}/candidates")
-    # The candidates are written, so their size is known: few are broadcast to the texts, many are joined by a shuffle.
-    found = rows.join(candidates.select("key").distinct(), "key", "left_semi").select("id", "key", F.array_distinct(_shingles(_normalised(F.col("text")), lengths)).alias("held"))
-    both = found.join(candidates, "key").join(items, "item")
+    # Few candidates are broadcast to the texts, many are joined by a shuffle. Rows that share a key are all verified.
+    sent = F.broadcast if candidates.count() <= BROADCAST_ROWS else (lambda df: df)
+    found = rows.join(sent(candidates.select("key").distinct()), "key", "left_semi").select("id", "key", F.array_distinct(_shingles(_normalised(F.col("text")), lengths)).alias("held"))
+    both = found.join(sent(candidates), "key").join(items, "item")
     share = F.size(F.array_intersect("held", "shingles")) / F.size("shingles")
     wanted = both.select("id", "item_id", share.alias("containment")).where(F.col("containment") >= CONTAINMENT - 1e-9)
     return wanted.distinct().withColumnRenamed("id", id_col)
