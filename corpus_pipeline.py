@@ -38,10 +38,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. A document is known by its text, so equal texts share their fate and
     rows that only share an id don't. Null and empty texts hold nothing and stay; without items all stay."""
-    named = docs.withColumn("_text", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    named = docs.withColumn("_text", F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), 1, 32)))
     found = decontamination.contaminated(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_text")
     keys = written(found.select("_text").distinct(), f"{work_dir(spark)}/contaminated")
-    return named.join(keys, "_text", "left_anti").select(docs.columns)
+    few = keys.count() <= decontamination.BROADCAST_ROWS
+    return named.join(F.broadcast(keys) if few else keys, "_text", "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

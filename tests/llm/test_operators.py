@@ -306,6 +306,27 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_neighbours_recall_where_few_are_scored_again(spark, monkeypatch):
+    """4000 vectors in several groups, an eighth scored again; and a third of all vectors equal."""
+    monkeypatch.setattr(neighbours, "GROUP", 1500)
+    monkeypatch.setattr(neighbours, "HELD", 700)
+    monkeypatch.setattr(neighbours, "RERANK", 500)
+    r = np.random.default_rng(9)
+    x = r.normal(size=(4000, 24)).astype(np.float32).astype(np.float64)
+    x[1000:1000 + 1333] = 3 * x[1000]  # longer than others, so nearest to itself
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for g in neighbours.nearest(df, lambda i: i % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(g["query_id"], []).append(g["vec_id"])
+    recall = []
+    for q, found in got.items():
+        s = (x * x[q]).sum(axis=1)
+        want = [k for k in np.lexsort((np.arange(4000), -s)) if k != q][:20]
+        recall.append(len(set(found) & set(want)) / 20)
+    assert len(got) == 40 and all(len(f) == 20 for f in got.values()) and np.mean(recall) >= 0.9
+    assert got[1500] == list(range(1000, 1020))
+
+
 def test_quality(spark, empty):
     r = random.Random(8)
     rows, labels = [], []

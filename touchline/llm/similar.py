@@ -5,6 +5,10 @@ fingerprints are its first candidates. They aren't enough: at a Jaccard of 0.8 a
 limit that holds nearly all such pairs, about twenty, no longer tells texts apart. So texts that share a band of
 ROWS minima of hashed shingles are candidates too; a pair at JACCARD shares none of BANDS bands in three of a
 million cases. Every link is verified by the shingle sets themselves; the groups are the components of all links.
+
+The texts of a bucket are first compared with its smallest node, each pair once however many buckets it shares.
+Where that joins a bucket, no pair of it is left to compare; only in buckets that it doesn't join are all pairs
+looked at that aren't joined yet. So a set travels once for each smallest node, not once for each bucket.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from .simhash import near_duplicates
 SHINGLE = 5
 JACCARD = 0.8
 BANDS, ROWS = 32, 5
+#: Rows of eight bytes up to which a side is sent to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: A bucket of more texts is split into blocks, and each two blocks are compared on their own.
 BLOCK = 4096
 
@@ -59,10 +65,12 @@ def bands(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def linked(nodes: np.ndarray, sets: list[np.ndarray], jaccard: float = JACCARD) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) between nodes that join what similarity joins. A pair that is joined already isn't compared."""
+def linked(nodes: np.ndarray, sets: list[np.ndarray], jaccard: float = JACCARD, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between nodes that join what similarity joins. A pair that is joined already, in what is known or
+    by the links found, isn't compared."""
     n = len(nodes)
-    label, sizes, out = np.arange(n), np.array([len(s) for s in sets]), []
+    label = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]
+    sizes, out = np.array([len(s) for s in sets]), []
     for i in range(n - 1):
         rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         rest = rest[np.minimum(sizes[rest], sizes[i]) >= jaccard * np.maximum(sizes[rest], sizes[i]) - 1e-9]
@@ -79,12 +87,17 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], jaccard: float = JACCARD)
     return nodes[pairs[:, 0]], nodes[pairs[:, 1]]
 
 
-def links(docs: DataFrame, shingle: int = SHINGLE, jaccard: float = JACCARD, more: DataFrame | None = None) -> DataFrame:
-    """(a, b): links between nodes of docs (node, text) whose components are those of all verified links. more
-    (node, band) are candidates beside the bands' own."""
-    work = work_dir(docs.sparkSession)
+def _similar(one: np.ndarray, other: np.ndarray, jaccard: float) -> bool:
+    if not len(one) or not len(other):
+        return len(one) == len(other)
+    both = int((one[np.minimum(np.searchsorted(one, other), len(one) - 1)] == other).sum())
+    return both >= jaccard * (len(one) + len(other) - both) - 1e-9
+
 
-    def band_rows(batches):
+def _bands(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, band): the bands of each node of docs (node, text) that has words."""
+
+    def run(batches):
         for batch in in_chunks(batches):
             ids, keys = [], []
             for k, s in zip(batch.column(0).to_pylist(), shingle_sets(texts_of(batch.column(1)), shingle)):
@@ -93,42 +106,74 @@ def links(docs: DataFrame, shingle: int = SHINGLE, jaccard: float = JACCARD, mor
                     keys.append(bands(s))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), BANDS)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["node", "band"])
 
-    def set_rows(batches):
+    return docs.select("node", "text").mapInArrow(run, "node bigint, band bigint")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, held): the shingle set of each of nodes (node), distinct, as bytes."""
+
+    def run(batches):
         for batch in in_chunks(batches):
             sets = shingle_sets(texts_of(batch.column(1)), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "held"])
 
+    few = nodes.count() <= BROADCAST_ROWS
+    wanted = docs.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", "text")
+    return wanted.mapInArrow(run, "node bigint, held binary").dropDuplicates(["node"])
+
+
+def _with_smallest(edges: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """(a, b) of the edges (node, least) whose sets are similar. The set of least comes first in a task and is held
+    while the others stream by; a node that is the least of very many is dealt to several tasks."""
+    stars = edges.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    others = edges.join(stars, "least").withColumn("block", block).join(sets, "node").select("least", "block", F.lit(1).alias("kind"), "node", "held")
+    first = stars.join(sets, F.col("least") == F.col("node")).select("least", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "node", "held")
+
+    def run(batches):
+        held, at = np.zeros(0, np.uint64), None
+        for batch in batches:
+            a, b = [], []
+            for least, block, kind, node_, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                s = np.frombuffer(raw, np.uint64)
+                if kind == 0:
+                    held, at = s, (least, block)
+                elif at == (least, block) and _similar(held, s, jaccard):
+                    a.append(node_)
+                    b.append(least)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return first.unionByName(others).repartition("least", "block").sortWithinPartitions("least", "block", "kind").mapInArrow(run, "a bigint, b bigint")
+
+
+def _all_pairs(members: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """(a, b): links that join what similarity joins in each bucket of members (band, n, node, root), where equal roots
+    are joined already. A large bucket is split into blocks, and each two blocks are compared on their own."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
+    met = members.select("band", "node", "root", blocks.alias("blocks"), own.alias("own"))
+    met = met.select("band", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tasks = met.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "root")
+
     def run(batches):
         def done(rows):
-            nodes = np.array([r[0] for r in rows], np.int64)
-            a, b = linked(nodes, [np.frombuffer(r[1], np.uint64) for r in rows], jaccard)
+            nodes, known = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+            a, b = linked(nodes, [np.frombuffer(r[2], np.uint64) for r in rows], jaccard, known)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         task, rows = None, []
         for batch in batches:
-            for t, k, held in zip(*(c.to_pylist() for c in batch.columns)):
+            for t, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if t != task and rows:
                     yield done(rows)
                     rows = []
                 task = t
-                rows.append((k, held))
+                rows.append(row)
         if rows:
             yield done(rows)
 
-    every = docs.select("node", "text").mapInArrow(band_rows, "node bigint, band bigint")
-    every = written((every.unionByName(more.select("node", "band")) if more is not None else every).distinct(), f"{work}/bands")
-    # Buckets of the same texts are one: its name is the smallest band.
-    shared = every.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    shared = shared.where("n > 1").groupBy("n", "x", "y").agg(F.min("band").alias("band"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.col("node"), F.lit("block")), blocks).cast("int")
-    met = every.join(shared, "band").select("band", "node", blocks.alias("blocks"), own.alias("own"))
-    met = met.select("band", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = written(met.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node"), f"{work}/tasks")
-    needed = docs.join(tasks.select("node").distinct(), "node", "left_semi").select("node", "text")
-    sets = written(needed.mapInArrow(set_rows, "node bigint, held binary").dropDuplicates(["node"]), f"{work}/sets")
-    rows = tasks.join(sets, "node").select("task", "node", "held").repartition("task").sortWithinPartitions("task")
-    return written(rows.mapInArrow(run, "a bigint, b bigint"), f"{work}/links")
+    rows = tasks.join(sets, "node").select("task", "node", "root", "held").repartition("task").sortWithinPartitions("task")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def close_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -138,8 +183,22 @@ def close_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def roots(docs: DataFrame, shingle: int = SHINGLE, jaccard: float = JACCARD) -> DataFrame:
     """(node, root) of the nodes of docs (node, text), but for those that are their own root."""
-    close = written(close_fingerprints(docs, shingle).distinct(), f"{work_dir(docs.sparkSession)}/close")
-    return components(links(docs, shingle, jaccard, close))
+    work = work_dir(docs.sparkSession)
+    every = written(_bands(docs, shingle).unionByName(close_fingerprints(docs, shingle)).distinct(), f"{work}/bands")
+    # Buckets of the same texts are one: its name is the smallest band.
+    shared = every.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    shared = shared.where("n > 1").groupBy("n", "least", "x", "y").agg(F.min("band").alias("band")).drop("x", "y")
+    members = written(every.join(shared, "band"), f"{work}/members")
+    sets = written(_sets(docs, written(members.select("node").distinct(), f"{work}/nodes"), shingle), f"{work}/sets")
+    edges = members.where("node <> least").select("node", "least").distinct()
+    found = components(written(_with_smallest(edges, sets, jaccard), f"{work}/first"))
+    joined = members.join(found.withColumnRenamed("node", "a"), F.col("node") == F.col("a"), "left").select("band", "n", "node", F.coalesce("root", "node").alias("root"))
+    joined = written(joined, f"{work}/joined")
+    apart = joined.where("n > 2").groupBy("band").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("band")
+    rest = written(_all_pairs(joined.join(apart, "band", "left_semi"), sets, jaccard), f"{work}/rest")
+    if rest.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, jaccard: float = JACCARD) -> DataFrame:
