@@ -48,13 +48,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_chunks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a piece holds about CHUNK_CHARS bytes of text, or one row."""
+def in_chunks(batches: Iterator[pa.RecordBatch], text: int = 1, chunk: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece holds about chunk bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.cumsum(size) // CHUNK_CHARS
+        group = np.cumsum(size) // chunk
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:

@@ -25,6 +25,8 @@ from .simhash import near_duplicates
 SHINGLE = 5
 JACCARD = 0.8
 BANDS, ROWS = 32, 5
+#: Bytes of text whose shingles are held together.
+CHUNK = 1 << 19
 #: Rows of eight bytes up to which a side is sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: A bucket of more texts is split into blocks, and each two blocks are compared on their own.
@@ -98,7 +100,7 @@ def _bands(docs: DataFrame, shingle: int) -> DataFrame:
     """(node, band): the bands of each node of docs (node, text) that has words."""
 
     def run(batches):
-        for batch in in_chunks(batches):
+        for batch in in_chunks(batches, chunk=CHUNK):
             ids, keys = [], []
             for k, s in zip(batch.column(0).to_pylist(), shingle_sets(texts_of(batch.column(1)), shingle)):
                 if len(s):
@@ -113,7 +115,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(node, held): the shingle set of each of nodes (node), distinct, as bytes."""
 
     def run(batches):
-        for batch in in_chunks(batches):
+        for batch in in_chunks(batches, chunk=CHUNK):
             sets = shingle_sets(texts_of(batch.column(1)), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "held"])
 
@@ -134,10 +136,10 @@ def _with_smallest(edges: DataFrame, sets: DataFrame, jaccard: float) -> DataFra
         held, at = np.zeros(0, np.uint64), None
         for batch in batches:
             a, b = [], []
-            for least, block, kind, node_, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                s = np.frombuffer(raw, np.uint64)
+            for least, block, kind, node_, raw in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
                 if kind == 0:
-                    held, at = s, (least, block)
+                    held, at = s.copy(), (least, block)
                 elif at == (least, block) and _similar(held, s, jaccard):
                     a.append(node_)
                     b.append(least)
@@ -224,15 +226,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays. The rows of one text are reduced to the first before texts are grouped, so a text's copies, however
     many, meet in partial aggregation only. No rows give no rows.
     """
-    words = F.trim(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")) != ""
-    outside = F.col(id_col).isNull() & ~words
-    key = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256))
-    rows = docs.where(~outside).select("*", key.alias("_row"), node(F.col(text_col)).alias("_node"))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("first")
-    texts = written(rows.groupBy("_node").agg(first), f"{work_dir(docs.sparkSession)}/texts")
-    found = roots(rows.select(F.col("_node").alias("node"), F.col(text_col).cast("string").alias("text")), shingle, jaccard)
-    kept = texts.join(found, F.col("_node") == F.col("node"), "left").groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min("first").alias("first"))
-    kept = written(kept.select(F.col("first.row").alias("_row")), f"{work_dir(docs.sparkSession)}/kept")
+    work = work_dir(docs.sparkSession)
+    words = F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]")
+    outside = F.col(id_col).isNull() & ~F.coalesce(words, F.lit(False))
+    flat = [F.to_json(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in docs.schema]
+    marks = {f"_row{k}": F.xxhash64(F.lit(k), *flat, *[c.isNull() for c in flat]) for k in (1, 2)}  # together the digest of a row
+    rows = docs.where(~outside).withColumns(marks)
+    base = written(rows.select(*marks, F.col(id_col).alias("id"), node(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text")), f"{work}/base")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", *marks)).alias("first")
+    texts = written(base.groupBy("node").agg(first), f"{work}/texts")
+    found = roots(base.select("node", "text"), shingle, jaccard).withColumnRenamed("node", "_node")
+    kept = texts.join(found, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = written(kept.select(*[F.col(f"first.{m}").alias(m) for m in marks]), f"{work}/kept")
     # One dealing of the rows by digest serves the join and the removal of equal rows.
-    stay = rows.repartition("_row").join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+    stay = rows.repartition(*marks).join(kept, list(marks), "left_semi").dropDuplicates(list(marks)).select(docs.columns)
     return stay.unionByName(docs.where(outside))
