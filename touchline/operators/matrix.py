@@ -156,6 +156,35 @@ def count_handicaps(rows: DataFrame, keys: list[str], home: str, away: str, mark
     return out.withColumn("market", F.lit(market))
 
 
+def price_counts(rows: DataFrame, offered: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """offered (keys, market, selection, line) with probability and push_probability of the markets of a count, at the
+    book's own line: totals of both sides and of either, and the handicap. rows (keys, home, away, both) hold the
+    distributions. Other markets, and what lacks its line or its distributions, are null.
+
+    All is worked out in the row; the distribution of the margin is made once for a fixture.
+    """
+    def mass(of: Column, test) -> Column:
+        return pricing.total(F.transform(of, lambda p, k: F.when(test(k), p).otherwise(F.lit(0.0))))
+
+    top = F.size("home") - 1
+    margin = F.transform(F.sequence(-(F.size("away") - 1), top), lambda m: pricing.total(F.transform("home", lambda p, i: p * F.coalesce(F.get("away", i - m), F.lit(0.0)))))
+    sides = rows.select(*keys, "home", "away", "both", margin.alias("margins"), (F.size("away") - 1).alias("least"))
+    met = offered.join(sides, keys, "left")
+    line, over = F.col("line"), F.col("selection") == "over"
+    of = F.when(F.col("market") == f"total_{kind}", F.col("both")).when(F.col("market") == f"home_total_{kind}", F.col("home")).when(F.col("market") == f"away_total_{kind}", F.col("away"))
+    won = F.when(over, mass(of, lambda k: k > line)).when(F.col("selection") == "under", mass(of, lambda k: k < line))
+    pushed = F.when(F.col("selection").isin("over", "under"), mass(of, lambda k: F.abs(k - line) <= 1e-9))
+    sign = F.when(F.col("selection") == "home", 1).when(F.col("selection") == "away", -1)
+    ahead = lambda k, shift: sign * (k - F.col("least")) + line + shift
+    half = F.when(pricing.is_quarter(line), F.lit(0.25)).otherwise(F.lit(0.0))
+    legs = lambda test: (mass(F.col("margins"), lambda k: test(ahead(k, -half))) + mass(F.col("margins"), lambda k: test(ahead(k, half)))) / 2
+    handicap = (F.col("market") == f"{kind[:-1]}_handicap") & sign.isNotNull()
+    win = F.when(handicap, legs(lambda x: x > 1e-9)).when(of.isNotNull(), won)
+    push = F.when(handicap, legs(lambda x: F.abs(x) <= 1e-9)).when(of.isNotNull(), pushed)
+    known = line.isNotNull() & F.col("home").isNotNull()
+    return met.select(*[F.col(c) for c in offered.columns], F.when(known, win).alias("probability"), F.when(known, push).alias("push_probability"))
+
+
 def day_picks(markets: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pick, confidence): the likeliest match result; of equal ones the first by name."""
     w = Window.partitionBy(*keys).orderBy(F.desc(F.round("probability", 12)), "selection")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import dates, names, pricing, settlement
 from ..operators import archive, availability, fair, fits, matrix, profile, quality, scoring, teams
-from ..streaming import archive as stream
 from . import lens, predict, research, scan, walk
 
 AS_OF, SEASON = "1999-03-01", 1998
@@ -312,8 +311,8 @@ def scalar_prices(spark, d):
 
 _BETS = [("1x2", s, None) for s in ("home", "draw", "away")] + [("double_chance", s, None) for s in ("home_or_draw", "home_or_away", "draw_or_away")] + [("draw_no_bet", s, None) for s in ("home", "away")]
 _BETS += [("winning_margin", s, None) for s in ("draw", "home_1", "home_2", "home_3_plus", "away_1", "away_2", "away_3_plus")] + [("btts", "yes", None), ("btts", "no", None), ("correct_score", "1-1", None), ("1x2_ht", "draw", None)]
-_BETS += [(m, s, x) for m, lines in (("total_goals", (2.0, 2.5)), ("home_goals", (1.0, 1.5)), ("away_goals", (0.5,)), ("total_goals_ht", (1.5,)), ("total_corners", (9.5, 10.0)), ("home_total_corners", (4.5,)), ("away_total_corners", (4.0,)), ("total_cards", (3.5,))) for x in lines for s in ("over", "under")]
-_BETS += [(m, s, x) for m, lines in (("asian_handicap", (-1.25, -1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0)), ("corner_handicap", (-1.25, -1.0, 0.5))) for x in lines for s in ("home", "away")]
+_BETS += [(m, s, x) for m, lines in (("total_goals", (2.0, 2.5)), ("home_goals", (1.0, 1.5)), ("away_goals", (0.5,)), ("total_goals_ht", (1.5,)), ("total_corners", (9.5, 10.0)), ("home_total_corners", (4.5,)), ("away_total_corners", (4.0,)), ("total_cards", (3.5,)), ("home_total_cards", (1.5,)), ("away_total_cards", (1.0,))) for x in lines for s in ("over", "under")]
+_BETS += [(m, s, x) for m, lines in (("asian_handicap", (-1.25, -1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0)), ("corner_handicap", (-1.25, -1.0, 0.5)), ("card_handicap", (-0.75, 1.0))) for x in lines for s in ("home", "away")]
 _BET_SQL = "(VALUES " + ", ".join(f"('{m}', '{s}', {'NULL' if x is None else f'CAST({x} AS DOUBLE)'})" for m, s, x in _BETS) + ") AS b(market, selection, line)"
 
 
@@ -324,12 +323,12 @@ def _leg(x: str) -> str:
 _SETTLE = """WITH r AS (SELECT m.match_id, b.market, b.selection, b.line, m.* EXCLUDE (match_id) FROM {m} AS m CROSS JOIN {b}),
 x AS (SELECT *, CASE WHEN home_goals > away_goals THEN 'home' WHEN home_goals < away_goals THEN 'away' ELSE 'draw' END AS res, CASE WHEN home_goals_ht > away_goals_ht THEN 'home' WHEN home_goals_ht < away_goals_ht THEN 'away' ELSE 'draw' END AS res_ht,
   CASE market WHEN 'total_goals' THEN home_goals + away_goals WHEN 'home_goals' THEN home_goals WHEN 'away_goals' THEN away_goals WHEN 'total_goals_ht' THEN home_goals_ht + away_goals_ht WHEN 'total_corners' THEN total_corners
-    WHEN 'home_total_corners' THEN CASE WHEN away_corners IS NOT NULL THEN home_corners END WHEN 'away_total_corners' THEN CASE WHEN home_corners IS NOT NULL THEN away_corners END WHEN 'total_cards' THEN total_cards END AS cnt,
-  CASE WHEN market = 'asian_handicap' THEN CASE WHEN selection = 'home' THEN home_goals - away_goals ELSE away_goals - home_goals END + line WHEN market = 'corner_handicap' THEN CASE WHEN selection = 'home' THEN home_corners - away_corners ELSE away_corners - home_corners END + line END AS mg,
+    WHEN 'home_total_corners' THEN CASE WHEN away_corners IS NOT NULL THEN home_corners END WHEN 'away_total_corners' THEN CASE WHEN home_corners IS NOT NULL THEN away_corners END WHEN 'total_cards' THEN total_cards WHEN 'home_total_cards' THEN home_yellows + home_reds WHEN 'away_total_cards' THEN away_yellows + away_reds END AS cnt,
+  CASE WHEN market = 'asian_handicap' THEN CASE WHEN selection = 'home' THEN home_goals - away_goals ELSE away_goals - home_goals END + line WHEN market = 'corner_handicap' THEN CASE WHEN selection = 'home' THEN home_corners - away_corners ELSE away_corners - home_corners END + line WHEN market = 'card_handicap' THEN CASE WHEN selection = 'home' THEN home_yellows + home_reds - away_yellows - away_reds ELSE away_yellows + away_reds - home_yellows - home_reds END + line END AS mg,
   line * 2 <> floor(line * 2) AS quarter FROM r),
 y AS (SELECT *, CASE WHEN market LIKE '%_handicap' OR market = 'asian_handicap' THEN CASE WHEN mg IS NULL THEN NULL WHEN quarter THEN (({lw}) + ({hw})) / 2 ELSE ({w}) END
     WHEN cnt IS NOT NULL THEN CASE WHEN (selection = 'over' AND cnt > line) OR (selection = 'under' AND cnt < line) THEN 1 ELSE 0 END
-    WHEN market IN ('total_corners', 'home_total_corners', 'away_total_corners', 'total_cards') THEN NULL
+    WHEN market IN ('total_corners', 'home_total_corners', 'away_total_corners', 'total_cards', 'home_total_cards', 'away_total_cards') THEN NULL
     WHEN market = '1x2' THEN CASE WHEN selection = res THEN 1 ELSE 0 END WHEN market = '1x2_ht' THEN CASE WHEN selection = res_ht THEN 1 ELSE 0 END
     WHEN market = 'double_chance' THEN CASE WHEN split_part(selection, '_or_', 1) = res OR split_part(selection, '_or_', 2) = res THEN 1 ELSE 0 END
     WHEN market = 'draw_no_bet' THEN CASE WHEN selection = res THEN 1 ELSE 0 END
@@ -337,7 +336,7 @@ y AS (SELECT *, CASE WHEN market LIKE '%_handicap' OR market = 'asian_handicap'
     WHEN market = 'btts' THEN CASE WHEN (selection = 'yes') = (home_goals > 0 AND away_goals > 0) THEN 1 ELSE 0 END
     WHEN market = 'correct_score' THEN CASE WHEN selection = home_goals || '-' || away_goals THEN 1 ELSE 0 END END AS win,
   CASE WHEN market LIKE '%_handicap' OR market = 'asian_handicap' THEN CASE WHEN mg IS NULL THEN NULL WHEN quarter THEN (({lp}) + ({hp})) / 2 ELSE ({p}) END
-    WHEN cnt IS NOT NULL THEN CASE WHEN cnt = line THEN 1 ELSE 0 END WHEN market IN ('total_corners', 'home_total_corners', 'away_total_corners', 'total_cards') THEN NULL
+    WHEN cnt IS NOT NULL THEN CASE WHEN cnt = line THEN 1 ELSE 0 END WHEN market IN ('total_corners', 'home_total_corners', 'away_total_corners', 'total_cards', 'home_total_cards', 'away_total_cards') THEN NULL
     WHEN market = 'draw_no_bet' AND res = 'draw' THEN 1 ELSE 0 END AS push FROM x)
 SELECT match_id, market, selection, line, CAST(win AS DOUBLE) AS win, CAST(push AS DOUBLE) AS push, ROUND(CAST(win * (1.9 - 1) - (1 - win - push) AS DOUBLE), 6) AS profit FROM y"""
 _SETTLE = _SETTLE.replace("{m}", _M).replace("{b}", _BET_SQL)
@@ -348,7 +347,7 @@ for _name, _x in (("w", "mg"), ("lw", "mg - 0.25"), ("hw", "mg + 0.25")):
 @query("settle_all", _SETTLE)
 def settle_all(spark, d):
     bets = [F.struct(F.lit(m).alias("market"), F.lit(s).alias("selection"), F.lit(x).cast("double").alias("line")) for m, s, x in _BETS]
-    rows = _matches(spark, d).withColumns({"home_cards": F.lit(None).cast("int"), "away_cards": F.lit(None).cast("int")}).select("*", F.inline(F.array(*bets)))
+    rows = _matches(spark, d).withColumns({f"{side}_cards": F.col(f"{side}_yellows") + F.coalesce(F.col(f"{side}_reds"), F.lit(0)) for side in ("home", "away")}).select("*", F.inline(F.array(*bets)))
     out = rows.withColumn("o", settlement.settle(F.col("market"), F.col("selection"), F.col("line")))
     return _round(out.select("match_id", "market", "selection", "line", F.col("o.win").alias("win"), F.col("o.push").alias("push"), settlement.profit(F.col("o"), F.lit(1.9)).alias("profit")))
 
@@ -514,11 +513,6 @@ def _bets(spark, d):
     return scoring.bets(_predictions(spark, d)).withColumn("profit_at_taken", profit)
 
 
-@query("kelly_staking")
-def kelly_staking(spark, d):
-    return _round(scoring.kelly_ledger(_bets(spark, d)), 4)
-
-
 @query("bootstrap_roi")
 def bootstrap_roi(spark, d):
     return _round(scoring.bootstrap_roi(_bets(spark, d)), 4)
@@ -695,14 +689,4 @@ def availability_effect(spark, d):
     return _round(research.offset_poisson(rows, ["league"]), 4)
 
 
-@query("streamed_weeks")
-def streamed_weeks(spark, d):
-    """The events as a stream, in weeks; what availableNow leaves in memory."""
-    import uuid
-
-    name = f"weeks_{uuid.uuid4().hex}"
-    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    pulls = source.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("fixture_key"), F.col("ts").alias("pulled_at"), F.col("value").alias("price"))
-    run = stream.weekly(pulls).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return _round(spark.table(name))
+from . import queries_inputs  # noqa: E402, F401  registers its queries with the helpers above

@@ -24,18 +24,30 @@ def thin_history(rows: DataFrame) -> Column:
     return F.concat_ws("; ", note("home"), note("away"))
 
 
-def valued(snapshots: DataFrame, odds: DataFrame, fitted: DataFrame, evidence: DataFrame | None = None, method: str = "shin") -> DataFrame:
+def upcoming(snapshots: DataFrame, as_of=None, leagues: list[str] | None = None) -> DataFrame:
+    """The latest snapshot of each fixture that has no match; from as_of on, where it is given, so that a fixture of
+    the past that never found its match isn't scanned; of some leagues only, where they are."""
+    rows = snapshots.where("match_id is null")
+    if as_of is not None:
+        rows = rows.where(F.col("fixture_date") >= F.lit(as_of).cast("date"))
+    return archive.latest(rows.where(F.col("league").isin(leagues)) if leagues else rows)
+
+
+def valued(
+    snapshots: DataFrame, odds: DataFrame, fitted: DataFrame, evidence: DataFrame | None = None, method: str = "shin", as_of=None, leagues: list[str] | None = None, price_source: str | None = None
+) -> DataFrame:
     """One row for each offered selection of unplayed fixtures' latest snapshots: the model's probability, the
     market's, the expected value at the best price, notes, and withheld, the reasons not to rank it.
 
-    Nothing is dropped but what has no price; rows that are withheld come last, others by value.
+    Nothing is dropped but what has no price; rows that are withheld come last, others by value. price_source names
+    the one book whose opening prices are taken, instead of the first in the order of preference.
     """
-    now = archive.latest(snapshots.where("match_id is null"))
+    now = upcoming(snapshots, as_of, leagues)
     fixtures = now.select("content_hash", "league", "fixture_date", "home_team", "away_team")
     rated = fits.rates(fixtures, fitted.where("intercept is not null"), ["league"])
     cell = matrix.cells(rated, ["content_hash"]).withColumnRenamed("content_hash", "match_id")
     mine = odds.join(now.select("content_hash"), "content_hash", "left_semi").withColumnRenamed("content_hash", "match_id")
-    chosen = fair.compared(fair.chosen_prices(mine), fair.fair_probabilities(mine, method))
+    chosen = fair.compared(fair.chosen_prices(mine, (price_source,) if price_source else config.PRICE_PREFERENCE), fair.fair_probabilities(mine, method))
     priced = matrix.price_offered(cell, chosen, ["match_id"]).where("probability > 0 and price_taken is not null")
     rows = priced.withColumnRenamed("match_id", "content_hash").join(rated, "content_hash")
     ev = pricing.expected_value(F.col("probability"), F.col("price_taken"), F.col("push_probability"))
@@ -43,7 +55,7 @@ def valued(snapshots: DataFrame, odds: DataFrame, fitted: DataFrame, evidence: D
     rows = rows.withColumns({"expected_value": ev, "edge": pricing.edge(conditional, F.col("market_probability")), "note": thin_history(rows)})
     rows = rows.withColumn("withheld", reasons(F.col("home_matches"), F.col("away_matches"), F.col("expected_value")))
     if evidence is not None:
-        rows = rows.join(F.broadcast(evidence.select("league", "market", F.col("state").alias("evidence"))), ["league", "market"], "left")  # leagues by markets
+        rows = rows.join(evidence.select("league", "market", F.col("state").alias("evidence")), ["league", "market"], "left")
     else:
         rows = rows.withColumn("evidence", F.lit(None).cast("string"))
     rows = rows.withColumn("evidence", F.coalesce("evidence", F.lit("untested")))

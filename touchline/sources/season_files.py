@@ -59,8 +59,16 @@ def number(value: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def read_raw(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """One file as strings: nameless columns and blank rows go, rows that don't parse are skipped."""
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8, or Latin-1 where the file's bytes aren't UTF-8. One aggregation over its lines."""
+    lines = spark.read.format("binaryFile").load(path).select(F.expr("is_valid_utf8(cast(content as string))").alias("ok"))
+    return "UTF-8" if lines.agg(F.coalesce(F.min("ok"), F.lit(True))).first()[0] else "ISO-8859-1"
+
+
+def read_raw(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """One file as strings: nameless columns and blank rows go, rows that don't parse are skipped. A season file has a
+    few hundred rows; without an encoding its bytes say which it has."""
+    encoding = encoding or encoding_of(spark, path)
     raw = spark.read.csv(path, header=True, inferSchema=False, mode="DROPMALFORMED", encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     named = [c for c in raw.columns if not c.startswith(("_c", "Unnamed")) and c.strip()]
     out = raw.select([_col(c).alias(c.strip().lstrip("﻿")) for c in named])

@@ -50,7 +50,13 @@ class Store:
         self.replace(table, stored.join(gone, on, "left_anti").unionByName(incoming))
 
     def append(self, table: str, rows: DataFrame, schema: str) -> None:
-        self.replace(table, self.read(table, schema).unionByName(rows.select(self.read(table, schema).columns)))
+        """rows as further files of the current version: what is stored is neither read nor written again. Who reads
+        at the same time sees all of rows or none, as the files are moved in when the job is committed."""
+        columns = self.spark.createDataFrame([], schema).columns
+        versions = self._versions(table)
+        if not versions:
+            return self.replace(table, rows.select(columns))
+        rows.select(columns).write.mode("append").parquet(f"{self.root}/{table}/v{versions[-1]}")
 
     def scoped_replace(self, table: str, rows: DataFrame, schema: str, scope: tuple[str, ...]) -> None:
         """rows instead of all stored rows in a scope that rows have; upsert under another name for its meaning."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -24,6 +27,31 @@ def weekly(pulls: DataFrame, at: str = "pulled_at", late: str = LATE) -> DataFra
     return rows.groupBy(F.window(at, "7 days"), "fixture_key").agg(F.count("*").alias("pulls"), F.avg("price").alias("mean_price")).select(F.col("window.start").alias("start"), "fixture_key", "pulls", "mean_price")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir; only a session without that setting, as in tests, gets a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="touchline-")
+    return f"{base.rstrip('/')}/touchline-{uuid.uuid4().hex}"
+
+
+def weekly_files(spark: SparkSession, pulls: DataFrame, folder: str, at: str = "pulled_at", late: str = LATE) -> DataFrame:
+    """weekly() of all that the stream pulls has now, run to its end and read from files.
+
+    Each batch writes the weeks as they stand to a folder of its own number, so a batch that is delivered again
+    writes the same files again; the last is read. The stream's checkpoint lies beside them.
+    """
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/weeks/{number}")
+        last.append(number)
+
+    run = weekly(pulls, at, late).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    run.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], "start timestamp, fixture_key string, pulls bigint, mean_price double")
+    return spark.read.parquet(f"{folder}/weeks/{max(last)}")
+
+
 def merge_into(store: Store, table: str = "fixture_snapshots"):
     """A foreachBatch function. A batch that is delivered again changes nothing: merging is idempotent."""
 
