@@ -327,3 +327,32 @@ def test_scores_by_hand(spark):
     assert k["bets"] == 60 and k["max_drawdown"] <= 0
     b = scoring.bootstrap_roi(df).first()
     assert b["roi_low"] <= b["roi"] <= b["roi_high"] and scoring.bootstrap_roi(df.limit(5)).first()["roi"] is None
+
+
+def test_files_in_latin_1_are_read(spark, tmp_path):
+    for name, encoding in (("a.csv", "latin-1"), ("b.csv", "utf-8-sig")):
+        (tmp_path / name).write_bytes("Div,HomeTeam\nD1,1. FC Köln\n".encode(encoding))
+        raw = season_files.read_raw(spark, str(tmp_path / name))
+        assert raw.columns == ["Div", "HomeTeam"] and [r["HomeTeam"] for r in raw.collect()] == ["1. FC Köln"]
+
+
+def test_append_keeps_what_is_stored(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = lambda k: spark.createDataFrame([(k, "x")], "n int, t string")
+    for k in range(3):
+        store.append("log", rows(k), "n int, t string")
+    assert sorted(r["n"] for r in store.read("log", "n int, t string").collect()) == [0, 1, 2] and store._versions("log") == [1]
+
+
+def test_count_markets_at_a_books_line(spark):
+    pmf = [0.5, 0.3, 0.2]
+    rows = spark.createDataFrame([("m", pmf, [0.6, 0.4], pmf)], "match_id string, home array<double>, away array<double>, both array<double>")
+    offered = [("total_corners", "over", 1.0), ("home_total_corners", "under", 1.5), ("corner_handicap", "home", -0.25), ("corner_handicap", "away", 1.0), ("total_cards", "over", 0.5), ("total_corners", "over", None)]
+    got = matrix.price_counts(rows, spark.createDataFrame([("m", *o) for o in offered], "match_id string, market string, selection string, line double"), ["match_id"], "corners")
+    found = {(r["market"], r["selection"], r["line"]): (r["probability"], r["push_probability"]) for r in got.collect()}
+    joint = {(i, j): p * q for i, p in enumerate(pmf) for j, q in enumerate([0.6, 0.4])}
+    level, ahead = sum(p for (i, j), p in joint.items() if i == j), sum(p for (i, j), p in joint.items() if i > j)
+    assert found["total_corners", "over", 1.0] == pytest.approx((0.2, 0.3)) and found["home_total_corners", "under", 1.5] == pytest.approx((0.8, 0.0))
+    assert found["corner_handicap", "home", -0.25] == pytest.approx((ahead, level / 2))
+    assert found["corner_handicap", "away", 1.0] == pytest.approx((1 - ahead, sum(p for (i, j), p in joint.items() if i - j == 1)))
+    assert found["total_cards", "over", 0.5] == (None, None) == found["total_corners", "over", None]
