@@ -46,7 +46,8 @@ def weekly_fits(matches: DataFrame, w: Walk) -> DataFrame:
     buckets = bucketed(matches, w).select("league", "as_of").distinct()
     columns = ["league", "match_id", "date", "home_team", "away_team", "home_goals", "away_goals", *[c for c in ("home_xg", "away_xg", "missing_home", "missing_away") if c in matches.columns]]
     back = F.date_sub("as_of", int(8 * w.half_life)) if w.half_life > 0 else F.lit("0001-01-01").cast("date")
-    history = matches.select(columns).join(buckets, "league").where((F.col("date") < F.col("as_of")) & (F.col("date") >= back))
+    few = buckets.count() <= 100_000  # leagues by weeks
+    history = matches.select(columns).join(F.broadcast(buckets) if few else buckets, "league").where((F.col("date") < F.col("as_of")) & (F.col("date") >= back))
     training = history.withColumn("weight", dates.decay(F.col("date"), F.col("as_of"), w.half_life))
     return fits.fit_goals(training, ["league", "as_of"], target=w.target, ridge=w.ridge, shares=w.shares)
 
