@@ -18,15 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, in_chunks, mixed, texts_of, work_dir, written
+from .common import Words, hand_back, in_chunks, mixed, texts_of, work_dir, written
 from .components import components
 from .simhash import near_duplicates
 
 SHINGLE = 5
 JACCARD = 0.8
 BANDS, ROWS = 32, 5
-#: Bytes of text whose shingles are held together.
-CHUNK = 1 << 19
 #: Rows of eight bytes up to which a side is sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: A bucket of more texts is split into blocks, and each two blocks are compared on their own.
@@ -100,7 +98,7 @@ def _bands(docs: DataFrame, shingle: int) -> DataFrame:
     """(node, band): the bands of each node of docs (node, text) that has words."""
 
     def run(batches):
-        for batch in in_chunks(batches, chunk=CHUNK):
+        for batch in in_chunks(batches):
             ids, keys = [], []
             for k, s in zip(batch.column(0).to_pylist(), shingle_sets(texts_of(batch.column(1)), shingle)):
                 if len(s):
@@ -115,7 +113,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(node, held): the shingle set of each of nodes (node), distinct, as bytes."""
 
     def run(batches):
-        for batch in in_chunks(batches, chunk=CHUNK):
+        for batch in in_chunks(batches):
             sets = shingle_sets(texts_of(batch.column(1)), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "held"])
 
@@ -144,6 +142,7 @@ def _with_smallest(edges: DataFrame, sets: DataFrame, jaccard: float) -> DataFra
                     a.append(node_)
                     b.append(least)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        hand_back()
 
     return first.unionByName(others).repartition("least", "block").sortWithinPartitions("least", "block", "kind").mapInArrow(run, "a bigint, b bigint")
 
@@ -173,6 +172,7 @@ def _all_pairs(members: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame
                 rows.append(row)
         if rows:
             yield done(rows)
+        hand_back()
 
     rows = tasks.join(sets, "node").select("task", "node", "root", "held").repartition("task").sortWithinPartitions("task")
     return rows.mapInArrow(run, "a bigint, b bigint")

@@ -23,6 +23,8 @@ from .common import Words, in_chunks, mixed, release, shuffle_partitions, texts_
 
 WINDOW = 50
 ANCHOR = (WINDOW + 1) // 2
+#: Bytes of text whose own copies are answered at once; the larger, the less of a frequent passage travels.
+CHUNK = 1 << 21
 
 _PACKED = "bucket int, kind int, docs binary, counts binary, keys binary, at binary"
 _KEY = np.dtype([("low", "<u4"), ("high", "<u8")])
@@ -101,7 +103,7 @@ def hits(docs: DataFrame, buckets: int) -> DataFrame:
     smallest document's own anchors that another hits."""
 
     def probe(batches):
-        for batch in in_chunks(batches, 2):
+        for batch in in_chunks(batches, 2, CHUNK):
             ids = batch.column(0).to_numpy().reshape(-1, 1)
             words = Words(texts_of(batch.column(2)))
             at, code = _anchors(words, buckets)
@@ -159,7 +161,7 @@ def repeats(docs: DataFrame, buckets: int) -> DataFrame:
     document has too. A row is what one bucket of keys has found for one unit of the corpus."""
 
     def windows(batches):
-        for batch in in_chunks(batches, 2):
+        for batch in in_chunks(batches, 2, CHUNK):
             ids = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
             words = Words(texts_of(batch.column(2)))
             at, code = _anchors(words, buckets)
@@ -234,7 +236,7 @@ def _without(docs: DataFrame, found: DataFrame, units: int) -> DataFrame:
 
     def run(batches):
         now, gone = None, {}
-        for batch in in_chunks(batches, 4):
+        for batch in in_chunks(batches, 4, CHUNK):
             ids, n, removed, kept = [], [], [], []
             for unit, kind, i, mark, text, docs_, counts, at in zip(*(batch.column(k).to_pylist() if k != 4 else texts_of(batch.column(4)) for k in range(8))):
                 if unit != now:
