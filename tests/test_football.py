@@ -285,6 +285,14 @@ def test_names_and_dates(spark):
     assert {r["query"]: r["team"] for r in names.typed(asked, known).collect()} == {"manchester city": "Man City", "man": None, "ATH MADRID": "Ath Madrid", "atletico": "Ath Madrid", "mil": "Milan", "zzz": None}
 
 
+def test_refused_fits(spark, matches):
+    few = matches.limit(2).withColumn("weight", F.lit(1.0))
+    for got in (fits.fit_goals(few, ["league"]), fits.fit_counts(few, ["league"], "corners")):
+        row = got.first()
+        assert row["status"] != "ok" and row["intercept"] is None and row["ratings"] == [] and not row["converged"]
+    assert fits.fit_goals(few, ["league"]).first()["target"] is None
+
+
 def test_walk_forward(spark, matches, season):
     last = season["date"].max()
     w = walk.Walk(str(last - dt.timedelta(days=20)), str(last), half_life=180.0, target="goals")

@@ -419,6 +419,11 @@ GOALS_SCHEMA = "intercept double, home_advantage double, rho double, target stri
 COUNTS_SCHEMA = "intercept double, home_advantage double, dispersion double, total_dispersion double, n_matches bigint, converged boolean, status string, ratings array<struct<team:string,attack:double,defence:double,matches:bigint>>, referees map<string,double>"
 
 
+def _empty(schema: str) -> dict:
+    """A row of nulls. A column that is missing would come back as numbers, which no text column takes."""
+    return dict.fromkeys(f.split()[0] for f in schema.split(", "))
+
+
 def _ratings(m) -> list[dict]:
     return [{"team": t, "attack": a, "defence": d, "matches": int(n)} for t, a, d, n in zip(m.teams, m.attack, m.defence, m.matches)]
 
@@ -429,13 +434,13 @@ def fit_goals(training: DataFrame, keys: list[str], **options) -> DataFrame:
     kinds = ", ".join(f"`{k}` {training.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key, rows):
-        row = dict(zip(keys, key))
+        row = dict(zip(keys, key)) | _empty(GOALS_SCHEMA)
         try:
             m = goals(rows, **options)
             row |= {k: v for k, v in asdict(m).items() if k not in ("teams", "attack", "defence", "matches", "notes")} | {"status": "; ".join(m.notes) or "ok", "ratings": _ratings(m)}
         except (TooFewMatches, NoChances) as e:
             row |= {"status": str(e), "converged": False, "n_matches": len(rows), "ratings": []}
-        return pd.DataFrame([row]).reindex(columns=[*keys, *[f.split()[0] for f in GOALS_SCHEMA.split(", ")]])
+        return pd.DataFrame([row])[[*keys, *_empty(GOALS_SCHEMA)]]
 
     return training.groupBy(*keys).applyInPandas(run, f"{kinds}, {GOALS_SCHEMA}")
 
@@ -445,13 +450,13 @@ def fit_counts(training: DataFrame, keys: list[str], kind: str, **options) -> Da
     kinds = ", ".join(f"`{k}` {training.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key, rows):
-        row = dict(zip(keys, key))
+        row = dict(zip(keys, key)) | _empty(COUNTS_SCHEMA)
         try:
             m = counts(rows, kind, **options)
             row |= {k: v for k, v in asdict(m).items() if k not in ("teams", "attack", "defence", "matches", "referees")} | {"status": "ok", "ratings": _ratings(m), "referees": m.referees}
         except TooFewMatches as e:
             row |= {"status": str(e), "converged": False, "n_matches": len(rows), "ratings": [], "referees": {}}
-        return pd.DataFrame([row]).reindex(columns=[*keys, *[f.split()[0] for f in COUNTS_SCHEMA.split(", ")]])
+        return pd.DataFrame([row])[[*keys, *_empty(COUNTS_SCHEMA)]]
 
     return training.groupBy(*keys).applyInPandas(run, f"{kinds}, {COUNTS_SCHEMA}")
 

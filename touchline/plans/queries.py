@@ -675,8 +675,8 @@ def fixture_markets(spark, d):
 
 @query("walk_forward")
 def walk_forward(spark, d):
-    w = walk.Walk("1999-01-01", "1999-01-31")
-    rows = walk.predictions(_matches(spark, d), lens.read(spark, d, "odds"), w)
+    m = _matches(spark, d)
+    rows = walk.predictions(m, lens.read(spark, d, "odds"), _whole_walk(m))
     return _round(scoring.market_scores(rows), 4)
 
 

@@ -26,6 +26,7 @@ class Walk:
     preference: tuple[str, ...] = config.FAIR_PREFERENCE
     fallback: bool = True
     calibrate: bool = True
+    history_days: int | None = None
 
 
 def bucketed(matches: DataFrame, w: Walk) -> DataFrame:
@@ -40,14 +41,13 @@ def weekly_fits(matches: DataFrame, w: Walk) -> DataFrame:
     """(league, as_of, parameters, status, ratings) of every bucket.
 
     A bucket's fit goes to a task of its own with the league's matches: each match is sent to the buckets that
-    read it, but only its few columns, and no further back than eight half-lives, beyond which its weight is
-    under half a per cent.
+    read it, but only its few columns. All matches before a bucket are read, or those of the last history_days.
     """
     buckets = bucketed(matches, w).select("league", "as_of").distinct()
     columns = ["league", "match_id", "date", "home_team", "away_team", "home_goals", "away_goals", *[c for c in ("home_xg", "away_xg", "missing_home", "missing_away") if c in matches.columns]]
-    back = F.date_sub("as_of", int(8 * w.half_life)) if w.half_life > 0 else F.lit("0001-01-01").cast("date")
+    recent = F.lit(True) if w.history_days is None else F.col("date") >= F.date_sub("as_of", w.history_days)
     few = buckets.count() <= 100_000  # leagues by weeks
-    history = matches.select(columns).join(F.broadcast(buckets) if few else buckets, "league").where((F.col("date") < F.col("as_of")) & (F.col("date") >= back))
+    history = matches.select(columns).join(F.broadcast(buckets) if few else buckets, "league").where((F.col("date") < F.col("as_of")) & recent)
     training = history.withColumn("weight", dates.decay(F.col("date"), F.col("as_of"), w.half_life))
     return fits.fit_goals(training, ["league", "as_of"], target=w.target, ridge=w.ridge, shares=w.shares)
 
