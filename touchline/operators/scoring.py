@@ -204,10 +204,21 @@ def total_fit(totals: DataFrame, top: int = 6) -> tuple[DataFrame, DataFrame]:
 
 
 def flat_ledger(rows: DataFrame, key: str = "league") -> DataFrame:
-    """Each bet of a unit stake with running profit, turnover, peak and drawdown, in order of date."""
-    w = Window.partitionBy(key).orderBy("date", "match_id", "market", "selection", "line").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumns({"bankroll": F.sum("profit_at_taken").over(w), "turnover": F.count("*").over(w).cast("double")})
-    return out.withColumn("peak", F.max("bankroll").over(w)).withColumn("drawdown", F.col("bankroll") - F.col("peak"))
+    """Each bet of a unit stake with running profit, turnover, peak and drawdown, in order of date.
+
+    Running sums are made within a day, and what a day begins with comes from one row a day: no task gets all the
+    bets of a key.
+    """
+    day = Window.partitionBy(key, "date").orderBy("match_id", "market", "selection", "line").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumns({"_sum": F.sum("profit_at_taken").over(day), "_n": F.count("*").over(day)}).withColumn("_top", F.max("_sum").over(day))
+    days = within.groupBy(key, "date").agg(F.sum("profit_at_taken").alias("_s"), F.max("_sum").alias("_t"), F.count("*").alias("_c"))
+    past = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumns({"_bank": F.coalesce(F.sum("_s").over(past), F.lit(0.0)), "_bets": F.coalesce(F.sum("_c").over(past), F.lit(0))})
+    days = days.withColumn("_peak", F.max(F.col("_bank") + F.col("_t")).over(past)).select(F.col(key).alias("_key"), F.col("date").alias("_date"), "_bank", "_bets", "_peak")
+    met = within.join(days, F.col(key).eqNullSafe(F.col("_key")) & F.col("date").eqNullSafe(F.col("_date")), "left")
+    bank = F.when(F.col("_sum").isNotNull() | F.col("_peak").isNotNull(), F.col("_bank") + F.coalesce("_sum", F.lit(0.0)))
+    out = met.select(*rows.columns, bank.alias("bankroll"), (F.col("_bets") + F.col("_n")).cast("double").alias("turnover"), F.greatest("_peak", F.col("_bank") + F.col("_top")).alias("peak"))
+    return out.withColumn("drawdown", F.col("bankroll") - F.col("peak"))
 
 
 def staking_summary(ledger: DataFrame, key: str = "league") -> DataFrame:
@@ -216,23 +227,35 @@ def staking_summary(ledger: DataFrame, key: str = "league") -> DataFrame:
 
 
 def kelly_ledger(rows: DataFrame, key: str = "league", start: float = 1000.0, fraction: float = 0.25, cap: float = 0.02) -> DataFrame:
-    """(key, bets, final_bankroll, peak, max_drawdown): each stake is a share of what is left after the last.
+    """(key, bets, final_bankroll, peak, max_drawdown, busted): each stake is a share of what is left after the last.
 
-    The recursion is a fold over the bets of a key in order, in the JVM.
+    What is left depends on all bets before it, so a key's bets pass in order through one task: sorted by Spark, which
+    spills, and taken batch by batch with five numbers carried along. No key is ever held whole.
     """
-    item = F.struct("date", "match_id", "market", "selection", "line", "model_probability", "price_taken", "profit_at_taken")
-    bets_ = rows.where("price_taken > 1 and profit_at_taken is not null").groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("bets"))
-    begin = F.struct(F.lit(start).alias("bank"), F.lit(start).alias("peak"), F.lit(0.0).alias("down"), F.lit(0).alias("n"))
-
-    def step(s: Column, b: Column) -> Column:
-        gain = b["model_probability"] * b["price_taken"] - 1
-        share = F.when(gain > 0, F.least(F.lit(cap), fraction * gain / (b["price_taken"] - 1))).otherwise(0.0)
-        bank = F.greatest(F.lit(0.0), s["bank"] + s["bank"] * share * b["profit_at_taken"])
-        peak = F.greatest(s["peak"], bank)
-        return F.struct(bank.alias("bank"), peak.alias("peak"), F.least(s["down"], (bank - peak) / peak).alias("down"), (s["n"] + F.when((share > 0) & (s["bank"] > 0), 1).otherwise(0)).alias("n"))
-
-    out = bets_.select(key, F.aggregate("bets", begin, step).alias("s"))
-    return out.select(key, F.col("s.n").alias("bets"), F.col("s.bank").alias("final_bankroll"), F.col("s.peak").alias("peak"), F.col("s.down").alias("max_drawdown"))
+    gain = F.col("model_probability") * F.col("price_taken") - 1
+    share = F.when(gain > 0, F.least(F.lit(cap), fraction * gain / (F.col("price_taken") - 1))).otherwise(0.0)
+    order = ("date", "match_id", "market", "selection", "line")
+    staked = rows.where("price_taken > 1 and profit_at_taken is not null").select(key, *order, share.alias("share"), "profit_at_taken")
+    lined = staked.repartition(F.col(key)).sortWithinPartitions(key, *order).select(key, "share", "profit_at_taken")
+
+    def run(batches):
+        now, (bank, peak, down, n) = None, (start, start, 0.0, 0)
+        row = lambda: pd.DataFrame([(now[0], n, bank, peak, down, bank <= 0)], columns=[key, "bets", "final_bankroll", "peak", "max_drawdown", "busted"])
+        for batch in batches:
+            for k, part, gained in zip(batch[key], batch["share"].tolist(), batch["profit_at_taken"].tolist()):
+                k = None if pd.isna(k) else k
+                if now != (k,):
+                    if now:
+                        yield row()
+                    now, (bank, peak, down, n) = (k,), (start, start, 0.0, 0)
+                n += part > 0 and bank > 0
+                bank = max(0.0, bank + bank * part * gained)
+                peak = max(peak, bank)
+                down = min(down, (bank - peak) / peak)
+        if now:
+            yield row()
+
+    return lined.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, bets bigint, final_bankroll double, peak double, max_drawdown double, busted boolean")
 
 
 def bootstrap_roi(rows: DataFrame, key: str = "league", draws: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:

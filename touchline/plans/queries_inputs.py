@@ -176,7 +176,7 @@ def total_buckets(spark, d):
   s AS (SELECT league, CAST(0 AS BIGINT) AS k, CAST(1000 AS DOUBLE) AS bank, CAST(1000 AS DOUBLE) AS peak, CAST(0 AS DOUBLE) AS down, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT league FROM b) AS x
     UNION ALL SELECT league, k, now, GREATEST(peak, now), LEAST(down, (now - GREATEST(peak, now)) / GREATEST(peak, now)), n + CASE WHEN share > 0 AND bank > 0 THEN 1 ELSE 0 END
     FROM (SELECT s.league, b.k, GREATEST(0.0, bank + bank * share * profit) AS now, peak, down, n, share, bank FROM s JOIN b ON b.league = s.league AND b.k = s.k + 1) AS y)
-  SELECT league, n AS bets, ROUND(bank, 4) AS final_bankroll, ROUND(peak, 4) AS peak, ROUND(down, 4) AS max_drawdown FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY league ORDER BY k DESC) AS last FROM s) AS z WHERE last = 1""")
+  SELECT league, n AS bets, ROUND(bank, 4) AS final_bankroll, ROUND(peak, 4) AS peak, ROUND(down, 4) AS max_drawdown, bank <= 0 AS busted FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY league ORDER BY k DESC) AS last FROM s) AS z WHERE last = 1""")
 def kelly_staking(spark, d):
     return _round(scoring.kelly_ledger(_bets(spark, d)), 4)
 
