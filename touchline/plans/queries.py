@@ -518,7 +518,21 @@ def bootstrap_roi(spark, d):
     return _round(scoring.bootstrap_roi(_bets(spark, d)), 4)
 
 
-@query("calibration_slope")
+def _slopes_sql(keys: str, judged: str = _J) -> str:
+    """Newton's steps on sums at the distinct probabilities, as many as let every group come to rest."""
+    on = " AND ".join(f"p.{k} = i.{k}" for k in keys.split(", "))
+    mine = ", ".join(f"i.{k}" for k in keys.split(", "))
+    sums = "SUM(s - c * m) AS g, SUM(x * (s - c * m)) AS gx, SUM(c * m * (1 - m)) AS h, SUM(c * m * (1 - m) * x) AS hx, SUM(c * m * (1 - m) * x * x) AS hxx"
+    return f"""WITH RECURSIVE q AS (SELECT {keys}, LEAST(GREATEST(ROUND(model_conditional, 10), 1e-12), 1 - 1e-12) AS pr, CAST(y AS DOUBLE) AS y FROM {judged} AS j),
+  points AS (SELECT {keys}, ln(pr / (1 - pr)) AS x, CAST(COUNT(*) AS DOUBLE) AS c, SUM(y) AS s FROM q GROUP BY {keys}, ln(pr / (1 - pr))),
+  size AS (SELECT {keys}, CAST(SUM(c) AS BIGINT) AS n, SUM(c) >= 30 AND SUM(s) > 0 AND SUM(s) < SUM(c) AS fits FROM points GROUP BY {keys}),
+  steps AS (SELECT {keys}, 0 AS k, CAST(0 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b, CAST(NULL AS DOUBLE) AS v FROM size WHERE fits
+    UNION ALL SELECT {keys}, k + 1, a + (hxx * g - hx * gx) / (h * hxx - hx * hx), b + (h * gx - hx * g) / (h * hxx - hx * hx), h / (h * hxx - hx * hx)
+    FROM (SELECT {keys}, k, a, b, {sums} FROM (SELECT {mine}, i.k, i.a, i.b, p.x, p.c, p.s, 1 / (1 + exp(-(i.a + i.b * p.x))) AS m FROM steps AS i JOIN points AS p ON {on} WHERE i.k < 30) AS e GROUP BY {keys}, k, a, b) AS f)
+  SELECT {keys}, n, a AS intercept, b AS slope, sqrt(v) AS slope_se, (b - 1) / sqrt(v) AS slope_z FROM size LEFT JOIN (SELECT * FROM steps WHERE k = 30) AS l USING ({keys})"""
+
+
+@query("calibration_slope", f"SELECT market, n, ROUND(intercept, 4) AS intercept, ROUND(slope, 4) AS slope, ROUND(slope_se, 4) AS slope_se, ROUND(slope_z, 4) AS slope_z FROM ({_slopes_sql('market')}) AS z")
 def calibration_slope(spark, d):
     return _round(scoring.calibration_slope(_predictions(spark, d), ["market"]), 4)
 
@@ -530,7 +544,13 @@ def era_comparison(spark, d):
     return _round(scoring.eras(_predictions(spark, d), 1998)).withColumn("difference_z", F.round("difference_z", 4))
 
 
-@query("evidence")
+_SCORED = f"(SELECT j.* FROM {_J} AS j JOIN (SELECT league, market, BOOL_OR(priceless) AS free FROM {_P} AS p GROUP BY league, market) AS h ON h.league = j.league AND h.market = j.market WHERE priceless OR NOT free)"
+
+
+@query("evidence", f"""SELECT s.league, s.market, n, ROUND(log_loss, 4) AS log_loss, ROUND(-(base * ln(base) + (1 - base) * ln(1 - base)), 4) AS base_rate_log_loss, ROUND(slope, 4) AS slope, ROUND(slope_se, 4) AS slope_se, n_bets, ROUND(mean, 4) AS mean_clv, ROUND(se, 4) AS clv_se, CASE WHEN n_bets > 0 THEN 'backtested' ELSE 'calibration-only' END AS state
+  FROM (SELECT league, market, COUNT(*) AS n, AVG({_LL.format(p='model_conditional')}) AS log_loss, LEAST(GREATEST(AVG(y), 1e-12), 1 - 1e-12) AS base FROM {_SCORED} AS a GROUP BY league, market) AS s
+  LEFT JOIN (SELECT league, market, slope, slope_se FROM ({_slopes_sql('league, market', _SCORED)}) AS b) AS l ON l.league = s.league AND l.market = s.market
+  LEFT JOIN (SELECT league, market, n AS n_bets, mean, se FROM ({_clustered_sql(f'(SELECT * FROM {_P} AS v WHERE expected_value IS NOT NULL)', 'league, market')}) AS c) AS v ON v.league = s.league AND v.market = s.market""")
 def evidence(spark, d):
     return _round(scoring.evidence(_predictions(spark, d)), 4)
 
