@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from touchline import config, schema
 from touchline.functions import dates, names, pricing, settlement
 from touchline.operators import archive, availability, fair, fits, matrix, profile, quality, scoring, teams
-from touchline.plans import build, scan, walk
+from touchline.plans import build, research, scan, walk
 from touchline.sources import feeds, generator, season_files
-from touchline.sources.store import Store
+from touchline.sources.store import Store, export_csv, import_rows, require_fresh
 from touchline.streaming import archive as stream
 
 
@@ -364,3 +364,102 @@ def test_count_markets_at_a_books_line(spark):
     assert found["corner_handicap", "home", -0.25] == pytest.approx((ahead, level / 2))
     assert found["corner_handicap", "away", 1.0] == pytest.approx((1 - ahead, sum(p for (i, j), p in joint.items() if i - j == 1)))
     assert found["total_cards", "over", 0.5] == (None, None) == found["total_corners", "over", None]
+
+
+def test_all_checked_markets_have_records(matches, season):
+    last = season["date"].max()
+    w = walk.Walk(str(last - dt.timedelta(days=13)), str(last), target="goals", halves=True, counted=("corners", "cards"))
+    half = lambda c: (F.col(c) / 2).cast("int")
+    more = {"home_goals_ht": half("home_goals"), "away_goals_ht": half("away_goals"), "home_yellows": half("home_corners"), "away_yellows": half("away_corners")}
+    rows = walk.predictions(matches.withColumns(more), None, w)
+    got = {r["market"]: r for r in rows.groupBy("market").agg(F.sum(F.when(F.col("selection").isin("home", "over"), F.col("win_fraction"))).alias("wins"), F.count("*").alias("n")).collect()}
+    assert set(got) == set(config.CALIBRATED_MARKETS)
+    assert rows.where("not priceless or expected_value is not null or model_probability <= 0").count() == 0
+    played = season[season.date >= last - dt.timedelta(days=13)]
+    assert got["1x2_ht"]["wins"] == (played.home_goals // 2 > played.away_goals // 2).sum()
+
+
+def test_grid_fits_each_choice_once(matches, season):
+    last = season["date"].max()
+    w = walk.Walk(str(last - dt.timedelta(days=6)), str(last), target="goals")
+    walks = [w, walk.pinned(w, "pinnacle"), walk.Walk(w.start, w.end, target="goals", half_life=90.0)]
+    fitted, choice = walk.grid_fits(matches, walks)
+    assert choice == [0, 0, 1] and not walks[1].fallback
+    alone = walk.weekly_fits(matches, walks[2]).orderBy("as_of").first()
+    together = fitted.where("choice = 1").orderBy("as_of").first()
+    assert abs(alone["intercept"] - together["intercept"]) < 1e-9 and alone["n_matches"] == together["n_matches"]
+    assert walk.grid(matches, None, w, [{}, {"half_life": 90.0}]).where("n > 0").count() == 2
+
+
+def test_pooled_variances_and_fits(spark, season):
+    each = {"a": 0.01, "b": 0.09}
+    assert fits.pooled_variances(each, 0.0) == pytest.approx(each)
+    assert set(round(v, 9) for v in fits.pooled_variances(each, 1.0).values()) == {0.03} and fits.pooled_variances({}) == {}
+    two = pd.concat([season.assign(league=k, weight=1.0, home_team=k + season.home_team, away_team=k + season.away_team) for k in ("X", "Y")])
+    rows = spark.createDataFrame(pd.concat([two, two.head(20).assign(league="few")]))
+    fitted = {r["league"]: r for r in fits.fit_goals_pooled(rows, share=1.0, target="goals").collect()}
+    assert fitted["X"]["ridge_attack"] == pytest.approx(fitted["Y"]["ridge_attack"]) and fitted["few"]["intercept"] is None
+    assert fitted["X"]["ridge_attack"] * fitted["X"]["ridge_defence"] == pytest.approx(config.RIDGE["goals"] ** 2)
+    assert {r["league"] for r in fits.shrinkage(rows, ["league"], target="goals").collect()} == {"X", "Y"}
+    table = fits.referee_table(fits.fit_counts(rows, ["league"], "corners", referees=True), ["league"]).where("league = 'X'").collect()
+    assert len(table) == 6 and all(r["multiplier"] == pytest.approx(math.exp(r["effect"])) for r in table) and table == sorted(table, key=lambda r: -r["multiplier"])
+
+
+def test_injury_effects(spark):
+    r, day = np.random.default_rng(4), dt.date(2024, 1, 1)
+    out = r.integers(0, 5, (1200, 2))
+    lam = 1.5 * np.exp(-0.15 * out[:, 0] + 0.1 * out[:, 1])
+    mu = 1.5 * np.exp(-0.15 * out[:, 1] + 0.1 * out[:, 0])
+    ms = spark.createDataFrame([(str(k), "E0", day + dt.timedelta(days=k % 400), f"h{k}", f"a{k}") for k in range(1200)], "match_id string, league string, date date, home_team string, away_team string")
+    totals = spark.createDataFrame([(str(k), "E0", int(r.poisson(lam[k])), int(r.poisson(mu[k])), 1.5, 1.5) for k in range(1200)], "match_id string, league string, observed_home int, observed_away int, lam double, mu double")
+    lists = [(f"{side}{k}", f"p{j}", j < int(out[k, n]), j >= int(out[k, n]), day + dt.timedelta(days=k % 400 + k % 2)) for k in range(1200) for n, side in enumerate("ha") for j in range(int(out[k, n]) + 1)]
+    injuries = spark.createDataFrame(lists, "team string, player string, ruled_out boolean, doubtful boolean, fixture_date date")
+    got = {x["reading"]: x for x in research.injury_effects(totals, ms, injuries, draws=30).collect()}
+    assert set(got) == set(research.INJURY_READINGS)
+    for reading in ("all out or doubtful", "newly out or doubtful"):
+        assert got[reading]["join_rate"] == 1.0 and abs(got[reading]["own"] + 0.15) < 4 * got[reading]["own_se"] and abs(got[reading]["opp"] - 0.1) < 4 * got[reading]["opp_se"]
+    assert got["all out"]["join_rate"] < 1.0  # who has nobody ruled out has no report
+    few = research.injury_effects(totals, ms, injuries.where("team like 'h%'"), draws=2)
+    assert few.where("join_rate = 0 and own is null").count() == 4
+    pooled = {(x["reading"], x["effect"]): x for x in research.pooled_effects(spark.createDataFrame([("r", -0.1, 0.1, 0.1, 0.1), ("r", -0.3, 0.2, -0.2, 0.0), ("r", 0.2, None, 0.3, 0.2)], "reading string, own double, own_se double, opp double, opp_se double")).collect()}
+    assert pooled["r", "own"]["estimate"] == pytest.approx((-0.1 / 0.01 - 0.3 / 0.04) / (1 / 0.01 + 1 / 0.04)) and pooled["r", "own"]["agreeing"] == 2 and pooled["r", "opp"]["leagues"] == 2
+
+
+def test_season_report(spark):
+    rows = spark.createDataFrame([(str(k), "E0", dt.date(2019 + k % 4, 9, 1), "1x2", "home", None, 0.5, 0.5, 0.05, 0.01 * (k % 5 - 2), float(k % 2), 0.0, "pinnacle" if k % 4 < 2 else "betfair_exchange") for k in range(400)], "match_id string, league string, date date, market string, selection string, line double, model_conditional double, market_probability double, expected_value double, clv double, win_fraction double, push_fraction double, fair_line_source string")
+    rows = rows.withColumn("price_movement", F.lit(None).cast("double"))
+    stored = rows.select("match_id", F.lit(2019).alias("season_start_year") + (F.col("match_id").cast("int") % 4))
+    got = research.season_report(rows, stored.toDF("match_id", "season_start_year"), 2021)
+    assert got["seasons"].count() == 4 and got["eras"].first()["n_before"] == 200
+    assert [tuple(r) for r in got["changes"].collect()] == [(2021, "pinnacle", "betfair_exchange")]
+
+
+def test_exports_come_back_and_stale_fixtures_are_refused(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    kind = "match_id string, n int"
+    store.replace("t", spark.createDataFrame([("a", 1), ("b", 2)], kind))
+    export_csv(store.read("t", kind), str(tmp_path / "csv"), ("match_id",))
+    import_rows(store, str(tmp_path / "csv"), "t", kind, ("match_id",))
+    assert sorted(map(tuple, store.read("t", kind).collect())) == [("a", 1), ("b", 2)]
+    fixtures = spark.createDataFrame([(dt.date(2024, 1, 5),)], "fixture_date date")
+    require_fresh(fixtures, "2024-01-05")
+    for late in (fixtures, fixtures.where("false")):
+        with pytest.raises(ValueError):
+            require_fresh(late, "2024-01-06")
+
+
+def test_ledgers_by_day_are_those_of_all_bets(spark):
+    r = np.random.default_rng(9)
+    rows = [(k % 2 and "A" or "B", dt.date(2024, 1, 1 + k // 40), str(k), "1x2", "home", None, 0.6, float(r.choice([1.5, 2.0, 3.0])), float(r.choice([-1.0, 0.5, 1.0, 0.0]))) for k in range(400)]
+    df = spark.createDataFrame(rows, "league string, date date, match_id string, market string, selection string, line double, model_probability double, price_taken double, profit_at_taken double")
+    got = {x["match_id"]: x for x in scoring.flat_ledger(df).collect()}
+    for league in "AB":
+        bank, peak, n = 0.0, -math.inf, 0
+        for x in sorted((x for x in rows if x[0] == league), key=lambda x: (x[1], x[2])):
+            bank, n = bank + x[8], n + 1
+            peak = max(peak, bank)
+            y = got[x[2]]
+            assert (y["bankroll"], y["turnover"], y["peak"], y["drawdown"]) == pytest.approx((bank, n, peak, bank - peak))
+    lost = df.withColumns({"profit_at_taken": F.lit(-1.0), "price_taken": F.lit(1.5)})
+    assert {(x["bets"], x["final_bankroll"], x["busted"]) for x in scoring.kelly_ledger(lost.withColumn("model_probability", F.lit(1.0)), fraction=1.0, cap=1.0).collect()} == {(1, 0.0, True)}
+    assert scoring.kelly_ledger(df.where("false")).count() == 0 and scoring.flat_ledger(df.where("false")).count() == 0

@@ -76,6 +76,18 @@ def latest(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def sighted(snapshots: DataFrame, leagues: list[str] | None = None, unplayed_only: bool = False, latest_only: bool = False) -> DataFrame:
+    """Stored snapshots: of some leagues, without those that found their match, the last of each fixture, as asked."""
+    rows = snapshots.where(F.col("league").isin(leagues)) if leagues else snapshots
+    rows = rows.where("match_id is null") if unplayed_only else rows
+    return latest(rows) if latest_only else rows
+
+
+def odds_of(odds: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The stored prices of snapshots, each once."""
+    return odds.join(snapshots.select("content_hash"), "content_hash", "left_semi")
+
+
 def reconciled(snapshots: DataFrame, matches: DataFrame, days: int = RECONCILE_DAYS) -> DataFrame:
     """snapshots with the match_id of the match of the same clubs whose date is nearest within days, the
     earlier of two as near. Those that have an id keep it; those that find none stay, with a null id.

@@ -137,6 +137,7 @@ class Goals:
     other_share: float = 0.0
     converged: bool = True
     notes: list[str] = field(default_factory=list)
+    estimate: Ridge | None = None
 
 
 def _codes(rows: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -330,9 +331,15 @@ def goals(rows: pd.DataFrame, target: str | None = None, ridge=None, blend: floa
     sides, prior = Sides(home, away, len(teams)), _prior(n)
     first = corrected and target == "goals"
     stage = lambda p: _poisson_stage(sides, x, y, w, p, prior, first)
+    found = None
     if mode:
         step = lambda p: posterior(sides, stage(p)[0], x, y, w, p, prior)
-        pair = (lambda r: (r.attack, r.defence))(auto_ridge(step)) if mode == "auto" else split_ridge(*step((level, level))[:2], level)
+        if mode == "auto":
+            found = auto_ridge(step)
+        else:
+            va, vd, spread = step((level, level))
+            found = Ridge(*split_ridge(va, vd, level), float(np.sqrt(va)), float(np.sqrt(vd)), spread, 1)
+        pair = found.attack, found.defence
     theta, rho, done = stage(pair)
     intercept, hfa = float(theta[0]), float(theta[1])
     if target != "goals":
@@ -340,7 +347,7 @@ def goals(rows: pd.DataFrame, target: str | None = None, ridge=None, blend: floa
         theta = np.concatenate([[intercept, hfa], theta[2:]])
     own, other = _share_stage(sides, theta, rho, rows, w) if shares and "missing_home" in rows else (0.0, 0.0)
     t = len(teams)
-    return Goals(teams, theta[2 : 2 + t].tolist(), theta[2 + t :].tolist(), n.tolist(), intercept, hfa, float(rho), target, pair[0], pair[1], len(rows), float(w.sum()), own, other, done, notes)
+    return Goals(teams, theta[2 : 2 + t].tolist(), theta[2 + t :].tolist(), n.tolist(), intercept, hfa, float(rho), target, pair[0], pair[1], len(rows), float(w.sum()), own, other, done, notes, found)
 
 
 @dataclass
@@ -428,16 +435,17 @@ def _ratings(m) -> list[dict]:
     return [{"team": t, "attack": a, "defence": d, "matches": int(n)} for t, a, d, n in zip(m.teams, m.attack, m.defence, m.matches)]
 
 
-def fit_goals(training: DataFrame, keys: list[str], **options) -> DataFrame:
+def fit_goals(training: DataFrame, keys: list[str], by: dict[str, dict] | None = None, **options) -> DataFrame:
     """(keys, parameters, status, ratings): one goals model for each group of weighted matches. A group that
-    can't be fitted has its reason as status and null parameters."""
+    can't be fitted has its reason as status and null parameters. by gives further options for values of a key."""
     kinds = ", ".join(f"`{k}` {training.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key, rows):
         row = dict(zip(keys, key)) | _empty(GOALS_SCHEMA)
         try:
-            m = goals(rows, **options)
-            row |= {k: v for k, v in asdict(m).items() if k not in ("teams", "attack", "defence", "matches", "notes")} | {"status": "; ".join(m.notes) or "ok", "ratings": _ratings(m)}
+            own = {o: v for name, values in (by or {}).items() for o, v in values.get(row[name], {}).items()}
+            m = goals(rows, **(options | own))
+            row |= {k: v for k, v in asdict(m).items() if k not in ("teams", "attack", "defence", "matches", "notes", "estimate")} | {"status": "; ".join(m.notes) or "ok", "ratings": _ratings(m)}
         except (TooFewMatches, NoChances) as e:
             row |= {"status": str(e), "converged": False, "n_matches": len(rows), "ratings": []}
         return pd.DataFrame([row])[[*keys, *_empty(GOALS_SCHEMA)]]
@@ -461,6 +469,45 @@ def fit_counts(training: DataFrame, keys: list[str], kind: str, **options) -> Da
     return training.groupBy(*keys).applyInPandas(run, f"{kinds}, {COUNTS_SCHEMA}")
 
 
+SHRINKAGE_SCHEMA = "matches bigint, effective_n double, teams bigint, dispersion double, tau_attack double, tau_defence double, split_attack double, split_defence double, em_attack double, em_defence double, em_rounds bigint, em_settled boolean"
+
+
+def shrinkage(training: DataFrame, keys: list[str], **options) -> DataFrame:
+    """(keys, matches, …): what the data say of each group's penalties, with the level held and without. A group that
+    can't be fitted has no row."""
+    kinds = ", ".join(f"`{k}` {training.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(key, rows):
+        try:
+            held, free = (goals(rows, ridge=mode, **options) for mode in ("auto-split", "auto"))
+        except (TooFewMatches, NoChances):
+            return pd.DataFrame(columns=[*keys, *_empty(SHRINKAGE_SCHEMA)])
+        s, e = held.estimate, free.estimate
+        row = dict(zip(keys, key)) | {"matches": held.n_matches, "effective_n": held.effective_n, "teams": len(held.teams), "dispersion": s.dispersion, "tau_attack": s.tau_attack, "tau_defence": s.tau_defence, "split_attack": s.attack, "split_defence": s.defence}
+        return pd.DataFrame([row | {"em_attack": e.attack, "em_defence": e.defence, "em_rounds": e.rounds, "em_settled": e.converged}])
+
+    return training.groupBy(*keys).applyInPandas(run, f"{kinds}, {SHRINKAGE_SCHEMA}")
+
+
+def fit_goals_pooled(training: DataFrame, key: str = "league", share: float = 0.5, target: str | None = None, **options) -> DataFrame:
+    """fit_goals by key with each key's split of the penalty taken from its variances, drawn to those of all keys.
+
+    The driver holds two numbers a key. A key without an estimate is fitted with the level alone.
+    """
+    found = {r[key]: r for r in shrinkage(training, [key], target=target).select(key, "tau_attack", "tau_defence", "split_attack", "split_defence").collect()}  # leagues
+    of = lambda c: pooled_variances({k: r[c] ** 2 for k, r in found.items()}, share)
+    attack, defence = of("tau_attack"), of("tau_defence")
+    level = lambda r: float(np.sqrt(r["split_attack"] * r["split_defence"]))  # noqa: E731  what split_ridge kept
+    pairs = {k: {"ridge": split_ridge(attack[k], defence[k], level(r))} for k, r in found.items()}
+    return fit_goals(training, [key], by={key: pairs}, target=target, **options)
+
+
+def referee_table(fits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, referee, effect, multiplier), the strictest first."""
+    one = fits.select(*keys, F.explode("referees").alias("referee", "effect"))
+    return one.withColumn("multiplier", F.exp("effect")).orderBy(*keys, F.desc("multiplier"), "referee")
+
+
 def ratings(fits: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, team, attack, defence, overall, matches) of fitted models."""
     one = fits.select(*keys, F.inline("ratings"))

@@ -44,18 +44,18 @@ def known_teams(matches: DataFrame, league=None, season=None) -> DataFrame:
     return rows.select(F.explode(F.array("home_team", "away_team")).alias("team")).distinct().orderBy("team")
 
 
-def training_rows(matches: DataFrame, as_of, half_life: float, chances: DataFrame | None = None, shares: DataFrame | None = None) -> DataFrame:
-    """What a fit reads: matches before as_of with their weight; optional tables that are absent are null columns.
+def with_cards(matches: DataFrame) -> DataFrame:
+    """matches with home_cards and away_cards, where there are yellow ones: unknown where those are, and red ones that
+    are unknown count as none."""
+    red = lambda s: F.coalesce(F.col(f"{s}_reds"), F.lit(0)) if f"{s}_reds" in matches.columns else F.lit(0)
+    cards = {f"{s}_cards": F.when(F.col(f"{s}_yellows").isNotNull(), F.col(f"{s}_yellows") + red(s)) for s in ("home", "away") if f"{s}_yellows" in matches.columns}
+    return matches.withColumns(cards) if cards else matches
 
-    Cards are unknown where yellow ones are; red ones that are unknown count as none.
-    """
-    rows = before(matches, as_of)
-    there = set(matches.columns)
-    cards = {}
-    for side in ("home", "away"):
-        if f"{side}_yellows" in there:
-            cards[f"{side}_cards"] = F.when(F.col(f"{side}_yellows").isNotNull(), F.col(f"{side}_yellows") + F.coalesce(F.col(f"{side}_reds"), F.lit(0)))
-    out = rows.withColumns(cards) if cards else rows
+
+def training_rows(matches: DataFrame, as_of, half_life: float, chances: DataFrame | None = None, shares: DataFrame | None = None) -> DataFrame:
+    """What a fit reads: matches before as_of with their weight and cards; optional tables that are absent are null
+    columns."""
+    out = with_cards(before(matches, as_of))
     for table, columns in ((chances, ("home_xg", "away_xg")), (shares, ("missing_home", "missing_away"))):
         if table is not None:
             out = out.drop(*columns).join(table.select("match_id", *columns), "match_id", "left")

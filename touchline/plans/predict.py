@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import pricing
 from ..operators import fits, matrix, teams
+from ..sources.store import landed
 
 _PERIODS = {"_ht": "first half"}
 _COUNTED = ("goals", "corners", "cards")
@@ -65,7 +66,26 @@ def models(matches: DataFrame, as_of, half_life: float = config.HALF_LIFE_DAYS,
     for kind in ("corners", "cards"):
         if f"home_{kind}" in rows.columns:
             out[kind] = fits.fit_counts(rows, ["league"], kind)
-    return {k: fit.persist() for k, fit in out.items()}  # a row a league; each is read more than once
+    return {k: landed(fit) for k, fit in out.items()}  # a row a league; each is read more than once
+
+
+def half_markets(cell: DataFrame, keys: list[str]) -> DataFrame:
+    """The markets of the first half, from the cells of its own matrix."""
+    half = matrix.goal_markets(cell, keys, goal_lines=(0.5, 1.5, 2.5), team_lines=()).where("market in ('1x2', 'total_goals')")
+    return half.withColumn("market", F.concat("market", F.lit("_ht")))
+
+
+def count_markets(means: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """All markets of corners or cards, from the rows of fits.count_rates."""
+    lines = config.CORNER_LINES if kind == "corners" else config.CARD_LINES
+    side_lines = tuple(sorted({int(x / 2) + 0.5 for x in lines}))
+    pmf = lambda mean, spread, name: matrix.count_pmf(mean, F.col(spread)).alias(name)
+    home, away = F.col("home_mean"), F.col("away_mean")
+    pmfs = means.select(*keys, pmf(home, "dispersion", "home"), pmf(away, "dispersion", "away"), pmf(home + away, "total_dispersion", "both"))
+    out = matrix.count_over_under(pmfs, keys, "both", f"total_{kind}", lines)
+    for side in ("home", "away"):
+        out = out.unionByName(matrix.count_over_under(pmfs, keys, side, f"{side}_total_{kind}", side_lines))
+    return out.unionByName(matrix.count_handicaps(pmfs, keys, "home", "away", f"{kind[:-1]}_handicap", (-1.5, -0.5, 0.5, 1.5)))
 
 
 def priced(fixtures: DataFrame, fitted: dict[str, DataFrame], key: str = "fixture_id") -> DataFrame:
@@ -75,18 +95,10 @@ def priced(fixtures: DataFrame, fitted: dict[str, DataFrame], key: str = "fixtur
     rated = fits.rates(fixtures, ok("goals"), ["league"])
     out = matrix.all_goal_markets(matrix.cells(rated, [key]), [key], handicaps=(-1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0))
     if "half" in fitted:
-        cell = matrix.cells(fits.rates(fixtures, ok("half"), ["league"]), [key])
-        half = matrix.goal_markets(cell, [key], goal_lines=(0.5, 1.5, 2.5), team_lines=()).where("market in ('1x2', 'total_goals')")
-        out = out.unionByName(half.withColumn("market", F.concat("market", F.lit("_ht"))))
-    for kind, lines in (("corners", config.CORNER_LINES), ("cards", config.CARD_LINES)):
+        out = out.unionByName(half_markets(matrix.cells(fits.rates(fixtures, ok("half"), ["league"]), [key]), [key]))
+    for kind in ("corners", "cards"):
         if kind in fitted:
-            m = fits.count_rates(fixtures, ok(kind), ["league"])
-            pmfs = m.select(key, matrix.count_pmf(F.col("home_mean"), F.col("dispersion")).alias("home"), matrix.count_pmf(F.col("away_mean"), F.col("dispersion")).alias("away"), matrix.count_pmf(F.col("home_mean") + F.col("away_mean"), F.col("total_dispersion")).alias("both"))
-            half_lines = tuple(x / 2 for x in lines)
-            side_lines = tuple(sorted({int(x) + 0.5 for x in half_lines}))
-            out = out.unionByName(matrix.count_over_under(pmfs, [key], "both", f"total_{kind}", lines))
-            out = out.unionByName(matrix.count_over_under(pmfs, [key], "home", f"home_total_{kind}", side_lines)).unionByName(matrix.count_over_under(pmfs, [key], "away", f"away_total_{kind}", side_lines))
-            out = out.unionByName(matrix.count_handicaps(pmfs, [key], "home", "away", f"{kind[:-1]}_handicap", (-1.5, -0.5, 0.5, 1.5)))
+            out = out.unionByName(count_markets(fits.count_rates(fixtures, ok(kind), ["league"]), [key], kind))
     return out.withColumn("fair_price", pricing.fair_price(F.col("probability"), F.col("push_probability")))
 
 

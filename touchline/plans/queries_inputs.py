@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import dates, names, pricing
-from ..operators import archive, availability, fair, matrix, quality, scoring, teams
+from ..operators import archive, availability, fair, fits, matrix, quality, scoring, teams
 from ..sources import season_files
 from ..streaming import archive as stream
-from . import lens
-from .queries import _CELLS, _FAIR_LEGS, _M, _O, _P, AS_OF, ORACLE, _bets, _matches, _round, query
+from . import lens, research, walk
+from .queries import _CELLS, _FAIR_LEGS, _I, _M, _O, _P, _PULLS, _TM, AS_OF, ORACLE, _bets, _matches, _round, _snapshots, _whole_walk, query
 
 # ---- sources ----------------------------------------------------------------------------------------------
 
@@ -189,3 +191,77 @@ def streamed_weeks(spark, d):
     pulls = source.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("fixture_key"), F.col("ts").alias("pulled_at"), F.col("value").alias("price"))
     out = stream.weekly_files(spark, pulls, stream.shared_folder(spark))
     return _round(out.withColumn("start", F.date_format("start", "yyyy-MM-dd")))
+
+
+# ---- studies and readers ----------------------------------------------------------------------------------------
+
+def _out_sql(doubtful: str = "") -> str:
+    return f"""o AS (SELECT team, fixture_date, COUNT(DISTINCT player) AS out FROM {_I} AS i WHERE ruled_out{doubtful} GROUP BY ALL),
+  j AS (SELECT t.match_id, t.is_home, arg_min(o.out, (abs(t.date - o.fixture_date), o.fixture_date)) AS out FROM {_TM} AS t JOIN o ON o.team = t.team AND abs(t.date - o.fixture_date) <= 1 GROUP BY t.match_id, t.is_home),
+  b AS (SELECT m.match_id, m.league, h.out AS out_home, a.out AS out_away FROM {_M} AS m LEFT JOIN (SELECT * FROM j WHERE is_home) AS h ON h.match_id = m.match_id LEFT JOIN (SELECT * FROM j WHERE NOT is_home) AS a ON a.match_id = m.match_id)"""
+
+
+@query("players_out", f"WITH {_out_sql(' OR doubtful')} SELECT match_id, out_home, out_away FROM b")
+def players_out(spark, d):
+    return research.players_out(_matches(spark, d), availability.out_counts(lens.read(spark, d, "injuries"), doubtful=True))
+
+
+@query("injury_effects")
+def injury_effects(spark, d):
+    """All readings of the injury lists, with errors of 200 draws."""
+    m = _matches(spark, d)
+    totals = m.select("league", "match_id", F.col("home_goals").alias("observed_home"), F.col("away_goals").alias("observed_away"), F.lit(2.0).alias("lam"), F.lit(1.5).alias("mu"))
+    return _round(research.injury_effects(totals, m, lens.read(spark, d, "injuries"), least=0.0), 4)
+
+
+@query("pooled_slopes", f"""SELECT league, 'own' AS effect, COUNT(*) AS leagues, ROUND(SUM(mean / (se * se)) / SUM(1 / (se * se)), 6) AS estimate, ROUND(sqrt(1 / SUM(1 / (se * se))), 6) AS se, ROUND(SUM(mean / (se * se)) / SUM(1 / (se * se)) * sqrt(SUM(1 / (se * se))), 6) AS z, COUNT(*) FILTER (mean < 0) AS agreeing
+  FROM ({ORACLE['evidence'].replace('ROUND(mean, 4) AS mean_clv, ROUND(se, 4) AS clv_se', 'mean, se')}) AS e WHERE se > 0 GROUP BY league""")
+def pooled_slopes(spark, d):
+    """The pooling of effects, on the closing-line value of each league's markets."""
+    rows = scoring.evidence(lens.read(spark, d, "predictions")).select("league", F.col("mean_clv").alias("own"), F.col("clv_se").alias("own_se"), F.lit(None).cast("double").alias("opp"), F.lit(None).cast("double").alias("opp_se"))
+    return _round(research.pooled_effects(rows, ["league"]))
+
+
+@query("shrinkage")
+def shrinkage(spark, d):
+    return _round(research.shrinkage_report(_matches(spark, d), AS_OF, config.HALF_LIFE_DAYS, target="goals")[0], 4)
+
+
+@query("goals_fit_pooled")
+def goals_fit_pooled(spark, d):
+    return _round(fits.fit_goals_pooled(teams.training_rows(_matches(spark, d), AS_OF, config.HALF_LIFE_DAYS), target="goals").drop("ratings"), 4)
+
+
+@query("referees")
+def referees(spark, d):
+    rows = teams.training_rows(_matches(spark, d), AS_OF, config.HALF_LIFE_DAYS)
+    return _round(fits.referee_table(fits.fit_counts(rows, ["league"], "cards"), ["league"]), 4)
+
+
+@query("calibration_records")
+def calibration_records(spark, d):
+    """All markets that are checked against results, over all dates, with a fit every half-year."""
+    m = _matches(spark, d)
+    w = replace(_whole_walk(m), step_days=182, halves=True, counted=("corners", "cards"))
+    return _round(scoring.market_scores(walk.predictions(m, None, w)), 4)
+
+
+@query("settings_grid")
+def settings_grid(spark, d):
+    """Two half-lives and two books for the fair line, over all dates, with a fit every year."""
+    m = _matches(spark, d)
+    w = replace(_whole_walk(m), step_days=364, target="goals", calibrate=False)
+    return _round(walk.grid(m, lens.read(spark, d, "odds"), w, [{"half_life": 180.0}, {"half_life": 720.0}, {"half_life": 720.0, "preference": ("pinnacle",), "fallback": False}]), 4)
+
+
+@query("unplayed_latest", f"""SELECT content_hash, fixture_key, league FROM (SELECT content_hash, 'f' || user_id AS fixture_key, league, ROW_NUMBER() OVER (PARTITION BY fixture_key ORDER BY pulled_at DESC, content_hash DESC) AS k FROM
+  (SELECT *, substr(fixture_key, 2) AS user_id FROM {_PULLS} AS p WHERE league IN ('L1', 'L3')) AS q) AS x WHERE k = 1""")
+def unplayed_latest(spark, d):
+    return archive.sighted(_snapshots(spark, d), ["L1", "L3"], unplayed_only=True, latest_only=True).select("content_hash", "fixture_key", "league")
+
+
+@query("snapshot_prices", f"SELECT match_id AS content_hash, COUNT(*) AS prices FROM {_O} AS o WHERE match_id IN (SELECT match_id FROM {_M} AS m WHERE league = 'L2') GROUP BY match_id")
+def snapshot_prices(spark, d):
+    odds = lens.read(spark, d, "odds").withColumnRenamed("match_id", "content_hash")
+    mine = archive.sighted(_matches(spark, d).withColumnRenamed("match_id", "content_hash"), ["L2"])
+    return archive.odds_of(odds, mine).groupBy("content_hash").agg(F.count("*").alias("prices"))

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import scoring
+from ..operators import availability, fits, scoring, teams
 from ..operators.fits import newton
+from . import walk
 
 LEAST = 50
 
@@ -66,6 +67,71 @@ def join_rate(rows: DataFrame, column: str, least: float = 0.5) -> float:
     return rate
 
 
+#: Who counts as missing in each reading of the injury lists: a builder, and whether the doubtful count.
+INJURY_READINGS = {
+    "newly out": (availability.newly_out, False), "newly out or doubtful": (availability.newly_out, True),
+    "all out": (availability.out_counts, False), "all out or doubtful": (availability.out_counts, True),
+}
+
+
+def players_out(matches: DataFrame, counts: DataFrame, days: int = 1) -> DataFrame:
+    """(match_id, out_home, out_away): the counts of the report nearest to the match; null where there is none."""
+    out = matches.select("match_id", "date", "home_team", "away_team")
+    for side in ("home", "away"):
+        mine = out.select("match_id", "date", F.col(f"{side}_team").alias("team"))
+        near = availability.nearest(mine, counts, "team", "date", "fixture_date", days).select("match_id", F.col("out").alias(f"out_{side}"))
+        out = out.join(near, "match_id", "left")
+    return out.select("match_id", "out_home", "out_away")
+
+
+def injury_effects(totals: DataFrame, matches: DataFrame, injuries: DataFrame, draws: int = 200, seed: int = 0, least: float = 0.5) -> DataFrame:
+    """(reading, league, join_rate, n, alpha, own, opp, own_se, opp_se): for each reading of the lists, goals by players
+    missing beyond the predicted rate (totals: league, match_id, observed_home, observed_away, lam, mu).
+
+    A league where less than a share least of the matches found a report of both sides has its join_rate and nulls.
+    All leagues and readings are tasks of one job.
+    """
+    rows, rates = None, None
+    for name, (build, doubtful) in INJURY_READINGS.items():
+        counts = players_out(matches, build(injuries, doubtful))
+        joined = totals.select("league", "match_id").join(counts, "match_id", "left")
+        rate = joined.groupBy("league").agg(F.avg((F.col("out_home").isNotNull() & F.col("out_away").isNotNull()).cast("double")).alias("join_rate")).withColumn("reading", F.lit(name))
+        one = sides(totals, counts, "out_home", "out_away").withColumn("reading", F.lit(name))
+        rows, rates = (one, rate) if rows is None else (rows.unionByName(one), rates.unionByName(rate))
+    enough = rates.where(F.col("join_rate") >= least)
+    fitted = offset_poisson(rows.join(enough, ["reading", "league"], "left_semi"), ["reading", "league"], draws, seed)
+    return rates.join(fitted, ["reading", "league"], "left").select("reading", "league", "join_rate", "n", "alpha", "own", "opp", "own_se", "opp_se")
+
+
+def pooled_effects(effects: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, effect, leagues, estimate, se, z, agreeing): the leagues' effects weighted by their precision. agreeing
+    counts those of the expected sign: who misses players scores less, their opponent more."""
+    by = keys or ["reading"]
+    one = effects.select(*by, F.inline(F.array(*[F.struct(F.lit(name).alias("effect"), F.col(name).alias("b"), F.col(f"{name}_se").alias("e"), F.lit(sign).alias("sign")) for name, sign in (("own", -1.0), ("opp", 1.0))])))
+    known = one.where("b is not null and e > 0 and not isnan(b) and not isnan(e)")
+    w = 1 / (F.col("e") * F.col("e"))
+    out = known.groupBy(*by, "effect").agg(F.count("*").alias("leagues"), (F.sum(F.col("b") * w) / F.sum(w)).alias("estimate"), F.sqrt(1 / F.sum(w)).alias("se"), F.count_if(F.signum("b") == F.col("sign")).alias("agreeing"))
+    return out.select(*by, "effect", "leagues", "estimate", "se", (F.col("estimate") / F.col("se")).alias("z"), "agreeing")
+
+
+def shrinkage_report(matches: DataFrame, as_of, half_life: float, target: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(a row a league, one row over all): the leagues' own penalties, the range of the attack's variance over the
+    defence's, in how many it is above one, and in how many the free estimate came to rest."""
+    each = fits.shrinkage(teams.training_rows(matches, as_of, half_life), ["league"], target=target, **options)
+    ratio = F.pow("tau_attack", 2) / F.pow("tau_defence", 2)
+    whole = each.agg(F.count("*").alias("leagues"), F.min(ratio).alias("least_ratio"), F.max(ratio).alias("most_ratio"), F.count_if(ratio > 1).alias("above_one"), F.count_if("em_settled").alias("settled"))
+    return each, whole
+
+
+def season_report(predictions: DataFrame, matches: DataFrame, split: int, changed: float = 0.5) -> dict[str, DataFrame]:
+    """Seasons as they are stored, the books that fair lines came from, where the dominant one changed, and the eras
+    before and from split on. Seasons on both sides of a change aren't on one scale: walk.pinned() holds a walk to
+    one book."""
+    rows, season = walk.season_of(predictions, matches), F.col("season")
+    sources = scoring.fair_sources(predictions)
+    return {"seasons": scoring.seasons(rows, season=season), "sources": sources, "changes": scoring.benchmark_changes(sources, changed), "eras": scoring.eras(predictions, split)}
+
+
 def goals_shape(predictions: DataFrame, totals: DataFrame) -> dict[str, DataFrame]:
     """Calibration of totals by line, both slopes, and the scatter of totals."""
     whole, buckets = scoring.total_fit(totals)

@@ -27,10 +27,10 @@ def thin_history(rows: DataFrame) -> Column:
 def upcoming(snapshots: DataFrame, as_of=None, leagues: list[str] | None = None) -> DataFrame:
     """The latest snapshot of each fixture that has no match; from as_of on, where it is given, so that a fixture of
     the past that never found its match isn't scanned; of some leagues only, where they are."""
-    rows = snapshots.where("match_id is null")
+    rows = archive.sighted(snapshots, leagues, unplayed_only=True)
     if as_of is not None:
         rows = rows.where(F.col("fixture_date") >= F.lit(as_of).cast("date"))
-    return archive.latest(rows.where(F.col("league").isin(leagues)) if leagues else rows)
+    return archive.latest(rows)
 
 
 def valued(
@@ -46,7 +46,7 @@ def valued(
     fixtures = now.select("content_hash", "league", "fixture_date", "home_team", "away_team")
     rated = fits.rates(fixtures, fitted.where("intercept is not null"), ["league"])
     cell = matrix.cells(rated, ["content_hash"]).withColumnRenamed("content_hash", "match_id")
-    mine = odds.join(now.select("content_hash"), "content_hash", "left_semi").withColumnRenamed("content_hash", "match_id")
+    mine = archive.odds_of(odds, now).withColumnRenamed("content_hash", "match_id")
     chosen = fair.compared(fair.chosen_prices(mine, (price_source,) if price_source else config.PRICE_PREFERENCE), fair.fair_probabilities(mine, method))
     priced = matrix.price_offered(cell, chosen, ["match_id"]).where("probability > 0 and price_taken is not null")
     rows = priced.withColumnRenamed("match_id", "content_hash").join(rated, "content_hash")

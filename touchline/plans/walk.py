@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import dates, pricing, settlement
-from ..operators import fair, fits, matrix, scoring
+from ..operators import fair, fits, matrix, scoring, teams
+from ..sources.store import landed
+from . import predict
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,13 @@ class Walk:
     fallback: bool = True
     calibrate: bool = True
     history_days: int | None = None
+    halves: bool = False
+    counted: tuple[str, ...] = ()
+
+
+def pinned(w: Walk, book: str) -> Walk:
+    """The walk with fair lines of one book only; where that is silent there is no fair line."""
+    return replace(w, preference=(book,), fallback=False)
 
 
 def bucketed(matches: DataFrame, w: Walk) -> DataFrame:
@@ -37,52 +46,93 @@ def bucketed(matches: DataFrame, w: Walk) -> DataFrame:
     return rows.withColumn("as_of", F.min("date").over(Window.partitionBy("league", "bucket")))
 
 
-def weekly_fits(matches: DataFrame, w: Walk) -> DataFrame:
-    """(league, as_of, parameters, status, ratings) of every bucket.
+_FACTS = ("home_goals", "away_goals", "home_goals_ht", "away_goals_ht", "home_corners", "away_corners", "home_cards", "away_cards", "total_corners", "total_cards")
+#: What only a priced selection has; null in a walk without prices, so that both are scored alike.
+_UNPRICED = {"price_taken": "double", "price_close": "double", "market_probability": "double", "fair_line_source": "string", "clv": "double", "price_movement": "double", "book_prices": "map<string,double>"}
 
-    A bucket's fit goes to a task of its own with the league's matches: each match is sent to the buckets that
-    read it, but only its few columns. All matches before a bucket are read, or those of the last history_days.
+
+def weekly_training(matches: DataFrame, w: Walk) -> DataFrame:
+    """The weighted matches that each bucket's fits read, by league and as_of.
+
+    Each match is sent to the buckets that read it, but only the columns that the walk's fits need. All matches
+    before a bucket are read, or those of the last history_days.
     """
     buckets = bucketed(matches, w).select("league", "as_of").distinct()
-    columns = ["league", "match_id", "date", "home_team", "away_team", "home_goals", "away_goals", *[c for c in ("home_xg", "away_xg", "missing_home", "missing_away") if c in matches.columns]]
+    facts = teams.with_cards(matches) if "cards" in w.counted else matches
+    more = ["home_xg", "away_xg", "missing_home", "missing_away"] + (["home_goals_ht", "away_goals_ht"] if w.halves else []) + [f"{s}_{k}" for k in w.counted for s in ("home", "away")] + (["referee"] if "cards" in w.counted else [])
+    columns = ["league", "match_id", "date", "home_team", "away_team", "home_goals", "away_goals", *[c for c in more if c in facts.columns]]
     recent = F.lit(True) if w.history_days is None else F.col("date") >= F.date_sub("as_of", w.history_days)
     few = buckets.count() <= 100_000  # leagues by weeks
-    history = matches.select(columns).join(F.broadcast(buckets) if few else buckets, "league").where((F.col("date") < F.col("as_of")) & recent)
-    training = history.withColumn("weight", dates.decay(F.col("date"), F.col("as_of"), w.half_life))
-    return fits.fit_goals(training, ["league", "as_of"], target=w.target, ridge=w.ridge, shares=w.shares)
+    history = facts.select(columns).join(F.broadcast(buckets) if few else buckets, "league").where((F.col("date") < F.col("as_of")) & recent)
+    return history.withColumn("weight", dates.decay(F.col("date"), F.col("as_of"), w.half_life))
 
 
-def predictions(matches: DataFrame, odds: DataFrame | None, w: Walk, fitted: DataFrame | None = None) -> DataFrame:
+def weekly_fits(matches: DataFrame, w: Walk) -> DataFrame:
+    """(league, as_of, parameters, status, ratings) of every bucket's goals; a bucket's fit is a task of its own."""
+    return fits.fit_goals(weekly_training(matches, w), ["league", "as_of"], target=w.target, ridge=w.ridge, shares=w.shares)
+
+
+def weekly_models(matches: DataFrame, w: Walk) -> dict[str, DataFrame]:
+    """The fits of every bucket: goals, and first halves and counts where the walk asks for them. Each is a row a
+    league and bucket, read more than once, so it is written."""
+    rows, keys = weekly_training(matches, w), ["league", "as_of"]
+    out = {"goals": fits.fit_goals(rows, keys, target=w.target, ridge=w.ridge, shares=w.shares)}
+    if w.halves and "home_goals_ht" in rows.columns:
+        out["half"] = fits.fit_goals(teams.half_time(rows), keys, target="goals")
+    for kind in w.counted:
+        if f"home_{kind}" in rows.columns:
+            out[kind] = fits.fit_counts(rows, keys, kind)
+    return {k: landed(fit) for k, fit in out.items()}
+
+
+def own_markets(fixtures: DataFrame, cell: DataFrame, fitted: dict[str, DataFrame]) -> DataFrame:
+    """The models' own selections at their own lines of the markets that are checked against results."""
+    ok = lambda k: fitted[k].where("intercept is not null")
+    key, by = ["match_id"], ["league", "as_of"]
+    out = matrix.goal_markets(cell, key, handicaps=(-0.5, -0.25, 0.0, 0.25, 0.5))
+    if "half" in fitted:
+        out = out.unionByName(predict.half_markets(matrix.cells(fits.rates(fixtures, ok("half"), by), key), key))
+    for kind in ("corners", "cards"):
+        if kind in fitted:
+            out = out.unionByName(predict.count_markets(fits.count_rates(fixtures, ok(kind), by), key, kind))
+    return out.where(F.col("market").isin(*config.CALIBRATED_MARKETS) & (F.col("probability") > 0))
+
+
+def predictions(matches: DataFrame, odds: DataFrame | None, w: Walk, fitted: DataFrame | dict[str, DataFrame] | None = None) -> DataFrame:
     """One row for each selection offered in the window, priced at the offered line, settled and compared with the
-    market; and, where calibrate is set, one for each of the model's own selections, without a price.
+    market; and, where calibrate is set, one for each of the models' own selections, without a price.
 
-    Matches of buckets without a fit are left out of both; skipped() counts them.
+    fitted is what weekly_fits() or weekly_models() gave, where that is at hand. Matches of buckets without a fit of
+    goals are left out; skipped() counts them. Those without a fit of halves or counts lack those markets only. A
+    selection whose count isn't known has no row.
     """
-    fixtures = bucketed(matches, w)
-    fitted = weekly_fits(matches, w).persist() if fitted is None else fitted  # a row a league and week, read more than once
-    rated = fits.rates(fixtures, fitted.where("intercept is not null"), ["league", "as_of"])
+    fixtures = bucketed(teams.with_cards(matches), w)
+    fitted = weekly_models(matches, w) if fitted is None else fitted if isinstance(fitted, dict) else {"goals": fitted}
+    rated = fits.rates(fixtures, fitted["goals"].where("intercept is not null"), ["league", "as_of"])
     cell = matrix.cells(rated, ["match_id"])
-    facts = ["match_id", "league", "date", "home_team", "away_team", *[c for c in ("home_goals", "away_goals", "home_goals_ht", "away_goals_ht", "home_corners", "away_corners", "home_cards", "away_cards", "total_corners", "total_cards") if c in rated.columns]]
-    match = rated.select(*facts)
-    for c in ("home_goals_ht", "away_goals_ht", "home_corners", "away_corners", "home_cards", "away_cards", "total_corners", "total_cards"):
-        if c not in facts:
-            match = match.withColumn(c, F.lit(None).cast("int"))
+    match = rated.select("match_id", "league", "date", "home_team", "away_team", *[c for c in _FACTS if c in rated.columns])
+    for c in _FACTS:
+        if c not in match.columns:
+            sides = [c.replace("total", s) for s in ("home", "away")]
+            whole = F.col(sides[0]) + F.col(sides[1]) if c.startswith("total") else F.lit(None).cast("int")
+            match = match.withColumn(c, whole)
     parts = []
     if odds is not None:
         mine = odds.join(rated.select("match_id"), "match_id", "left_semi")
         chosen = fair.closing_value(fair.compared(fair.chosen_prices(mine, books=True), fair.fair_probabilities(mine, w.method, w.preference, w.fallback)))
         parts.append(matrix.price_offered(cell, chosen, ["match_id"]).where("probability > 0").withColumn("priceless", F.lit(False)))
     if w.calibrate:
-        own = matrix.goal_markets(cell, ["match_id"], handicaps=(-0.5, -0.25, 0.0, 0.25, 0.5)).withColumn("priceless", F.lit(True))
-        parts.append(own)
+        parts.append(own_markets(fixtures, cell, fitted).withColumn("priceless", F.lit(True)))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p, allowMissingColumns=True)
+    for c, kind in _UNPRICED.items():
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
     joined = rows.join(match, "match_id").withColumn("o", settlement.settle(F.col("market"), F.col("selection"), F.col("line"))).where("o is not null")
-    ev = pricing.expected_value(F.col("probability"), F.col("price_taken"), F.col("push_probability")) if odds is not None else F.lit(None).cast("double")
+    ev = pricing.expected_value(F.col("probability"), F.col("price_taken"), F.col("push_probability"))
     more = {"model_probability": F.col("probability"), "model_conditional": pricing.conditional(F.col("probability"), F.col("push_probability")), "fair_price": pricing.fair_price(F.col("probability"), F.col("push_probability")), "expected_value": ev, "win_fraction": F.col("o.win"), "push_fraction": F.col("o.push")}
-    if odds is not None:
-        more |= {"profit_at_taken": settlement.profit(F.col("o"), F.col("price_taken")), "profit_at_close": settlement.profit(F.col("o"), F.col("price_close"))}
+    more |= {"profit_at_taken": settlement.profit(F.col("o"), F.col("price_taken")), "profit_at_close": settlement.profit(F.col("o"), F.col("price_close"))}
     return joined.withColumns(more).drop("o", "probability")
 
 
@@ -104,13 +154,32 @@ def summary(rows: DataFrame) -> dict[str, DataFrame]:
     return {"markets": scoring.market_scores(rows), "value": scoring.closing_line_value(taken, ["market"]), "seasons": scoring.seasons(rows), "roi": scoring.bootstrap_roi(taken), "evidence": scoring.evidence(rows)}
 
 
+#: What a fit of goals depends on; settings that agree in these share their fits.
+_FITTED = ("start", "end", "step_days", "half_life", "target", "ridge", "shares", "history_days")
+
+
+def grid_fits(matches: DataFrame, walks: list[Walk]) -> tuple[DataFrame, list[int]]:
+    """(choice, league, as_of, parameters …) of all walks, and the choice of each. The choices are crossed with leagues
+    and buckets, so all fits are tasks of one job."""
+    of = [tuple(getattr(w, c) for c in _FITTED) for w in walks]
+    choices = list(dict.fromkeys(of))
+    rows, options = None, {}
+    for k, c in enumerate(choices):
+        w = walks[of.index(c)]
+        options[k] = {"target": w.target, "ridge": w.ridge, "shares": w.shares}
+        one = weekly_training(matches, w).withColumn("choice", F.lit(k))
+        rows = one if rows is None else rows.unionByName(one)
+    return landed(fits.fit_goals(rows, ["choice", "league", "as_of"], by={"choice": options})), [choices.index(c) for c in of]
+
+
 def grid(matches: DataFrame, odds: DataFrame | None, w: Walk, settings: list[dict], market: str = "1x2") -> DataFrame:
     """(setting, n, model_log_loss, …) of a market for each setting of the walk."""
-    out = None
-    for k, s in enumerate(settings):
-        rows = predictions(matches, odds, Walk(**(asdict(w) | s)))
-        one = scoring.market_scores(rows.where(F.col("market") == market)).select(F.lit(k).alias("setting"), F.lit(str(sorted(s.items()))).alias("options"), "n", "model_log_loss", "model_brier")
-        out = one if out is None else out.unionByName(one)
+    walks, out = [Walk(**(asdict(w) | s)) for s in settings], None
+    fitted, choice = grid_fits(matches, walks)
+    for k, (one, s) in enumerate(zip(walks, settings)):
+        rows = predictions(matches, odds, one, fitted.where(F.col("choice") == choice[k]).drop("choice"))
+        scores = scoring.market_scores(rows.where(F.col("market") == market)).select(F.lit(k).alias("setting"), F.lit(str(sorted(s.items()))).alias("options"), "n", "model_log_loss", "model_brier")
+        out = scores if out is None else out.unionByName(scores)
     return out
 
 

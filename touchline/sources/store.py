@@ -6,10 +6,27 @@ makes the next. Spark has no UPDATE or DELETE on files, so each kind of load is
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir; only a session without that setting, as in tests, gets a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="touchline-")
+    return f"{base.rstrip('/')}/touchline-{uuid.uuid4().hex}"
+
+
+def landed(rows: DataFrame) -> DataFrame:
+    """rows written once to the shared folder and read from there: what reads them more than once makes them once,
+    and a lost executor costs a read, not a fit."""
+    folder = shared_folder(rows.sparkSession)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -81,6 +98,18 @@ def import_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
 
 
+def import_rows(store: Store, path: str, table: str, schema: str, keys: tuple[str, ...]) -> None:
+    """An exported file into its table, by the upsert that loads it otherwise."""
+    store.upsert(table, import_csv(store.spark, path, schema), schema, keys)
+
+
+def require_fresh(fixtures: DataFrame, as_of, pulled_at=None, hours: int = 72) -> None:
+    """Raises if the fixtures are stale(), before anything is priced from them."""
+    row = stale(fixtures, as_of, pulled_at, hours).first()
+    if row["stale"]:
+        raise ValueError(f"fixtures are stale: the last is of {row['latest']}, asked for {as_of}")
+
+
 def stale(fixtures: DataFrame, as_of, pulled_at=None, hours: int = 72) -> DataFrame:
     """(latest, stale): whether the last fixture lies before as_of, or the file was pulled too long before."""
     late = F.max("fixture_date") < F.lit(as_of).cast("date")

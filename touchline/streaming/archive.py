@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..operators import archive
-from ..sources.store import Store
+from ..sources.store import Store, shared_folder  # noqa: F401
 
 LATE = "7 days"
 
@@ -27,12 +24,6 @@ def weekly(pulls: DataFrame, at: str = "pulled_at", late: str = LATE) -> DataFra
     return rows.groupBy(F.window(at, "7 days"), "fixture_key").agg(F.count("*").alias("pulls"), F.avg("price").alias("mean_price")).select(F.col("window.start").alias("start"), "fixture_key", "pulls", "mean_price")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; only a session without that setting, as in tests, gets a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="touchline-")
-    return f"{base.rstrip('/')}/touchline-{uuid.uuid4().hex}"
-
-
 def weekly_files(spark: SparkSession, pulls: DataFrame, folder: str, at: str = "pulled_at", late: str = LATE) -> DataFrame:
     """weekly() of all that the stream pulls has now, run to its end and read from files.
 
