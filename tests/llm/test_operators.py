@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm import components, decontamination, fixity, language, neighbours, packing, quality, secrets, simhash, substring, token_counts
 from touchline.llm.bpe import encoder, vocabulary_path
-from touchline.llm.common import Words, work_dir
+from touchline.llm.common import Words, looked_up, work_dir
 
 #: Columns with names that the operators use inside, besides the documents' own.
 EXTRA = "id bigint, fp bigint, key string, mark bigint, unit int, kind int, digest string, hash string, x string, spans string, bucket string"
@@ -159,6 +159,18 @@ def test_token_counts(spark, docs, texts, empty):
     assert token_counts.token_counts(empty, f"{work_dir(spark)}/none").count() == 0
 
 
+def test_rows_of_a_hot_key_are_dealt_out_and_none_is_lost(spark, tmp_path):
+    keys = [0] * 5000 + [k for k in range(1, 4000)] + [7] * 100
+    spark.createDataFrame(list(enumerate(keys)), "id long, k long").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    copies = rows.groupBy("k").agg(F.count("*").alias("copies"))
+    table = rows.where("k <> 3").select("k", (F.col("k") * 10).alias("v")).distinct()
+    got = looked_up(rows, table, copies, "k", len(keys))
+    assert got.columns == ["k", "id", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, 10 * k) for i, k in enumerate(keys) if k != 3)
+    assert looked_up(rows.where("false"), table, copies.where("false"), "k", 0).count() == 0
+
+
 def test_pieces_are_encoded_as_whole_texts():
     e = encoder(vocabulary_path(token_counts.TOKENIZER))
     r = random.Random(2)

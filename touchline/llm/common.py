@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at together; its arrays take up to a hundred times that.
 CHUNK_CHARS = 1 << 19
@@ -64,6 +65,26 @@ def in_chunks(batches: Iterator[pa.RecordBatch], text: int = 1, chunk: int = CHU
     hand_back()
 
 
+#: A key is hot if it has more than one row in so many.
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, copies: DataFrame, key: str, n: int) -> DataFrame:
+    """rows with the columns of the one row of table that has their key. copies (key, copies) tells how many of the n
+    rows have each. Rows without a match are left out.
+
+    The rows of a hot key are dealt out in parts, and its row of table goes to each. As copies add up to n, fewer
+    than HOT keys are hot: only these are broadcast. rows must come from files, so that a task that is done again
+    deals alike.
+    """
+    parts = F.least(F.col("copies"), F.ceil(F.col("copies") * HOT / max(n, 1))).cast("int")
+    hot = F.broadcast(copies.where(F.col("copies") * HOT > n).select(key, parts.alias("_parts")).where("_parts > 1"))
+    of = F.coalesce("_parts", F.lit(1))
+    dealt = rows.withColumn("_at", F.monotonically_increasing_id()).join(hot, key, "left").withColumn("_part", F.pmod("_at", of).cast("int"))
+    every = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), of - 1)))
+    return dealt.drop("_at", "_parts").join(every.drop("_parts"), [key, "_part"]).drop("_part")
+
+
 def hand_back() -> None:
     """Return freed memory to the machine, where its C library can."""
     pa.default_memory_pool().release_unused()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary_path
-from .common import in_chunks, texts_of, work_dir, written
+from .common import in_chunks, looked_up, texts_of, work_dir, written
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,13 +63,13 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer: str = TOKENIZER, l
     # A text's copies meet as digests, 32 bytes a row, with partial aggregation; its one row of text is then
     # fetched by id and digest. Written misses have a known size, so few of them are broadcast and many are not.
     rid = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    one = seen.groupBy("digest").agg(F.min(rid).alias("rid"))
-    misses = written(one.join(cache(), "digest", "left_anti"), f"{work}/misses")
+    one = written(seen.groupBy("digest").agg(F.min(rid).alias("rid"), F.count("*").alias("copies")), f"{work}/distinct")
+    misses = written(one.drop("copies").join(cache(), "digest", "left_anti"), f"{work}/misses")
     rows = texts.withColumn("rid", rid).join(misses, ["digest", "rid"], "left_semi")
     fresh = encoded_lengths(rows, tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     known = cache().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two jobs may have appended the same text
-    return seen.join(known, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return looked_up(seen, known, one.select("digest", "copies"), "digest", seen.count()).select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
