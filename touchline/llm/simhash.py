@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_chunks, texts_of, work_dir, written
+from .common import in_chunks, looked_up, texts_of, work_dir, written
 from .components import components
 
 SHINGLE = 4
@@ -178,12 +178,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     work = work_dir(docs.sparkSession)
     marked = written(fingerprints(docs, id_col, text_col, shingle), f"{work}/fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), f"{work}/distinct")
+    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")), f"{work}/distinct")
     roots = components(links(distinct.select("fp"), distance))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return looked_up(marked, named, distinct.select("fp", "copies"), "fp", marked.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
