@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,7 +231,8 @@ def kelly_ledger(rows: DataFrame, key: str = "league", start: float = 1000.0, fr
     """(key, bets, final_bankroll, peak, max_drawdown, busted): each stake is a share of what is left after the last.
 
     What is left depends on all bets before it, so a key's bets pass in order through one task: sorted by Spark, which
-    spills, and taken batch by batch with five numbers carried along. No key is ever held whole.
+    spills, and taken batch by batch with five numbers carried along. No key is ever held whole. A bankroll beyond the
+    largest double is infinite, and not a number once it then loses; as in SQL that is more than any number, no bust.
     """
     gain = F.col("model_probability") * F.col("price_taken") - 1
     share = F.when(gain > 0, F.least(F.lit(cap), fraction * gain / (F.col("price_taken") - 1))).otherwise(0.0)
@@ -238,24 +240,29 @@ def kelly_ledger(rows: DataFrame, key: str = "league", start: float = 1000.0, fr
     staked = rows.where("price_taken > 1 and profit_at_taken is not null").select(key, *order, share.alias("share"), "profit_at_taken")
     lined = staked.repartition(F.col(key)).sortWithinPartitions(key, *order).select(key, "share", "profit_at_taken")
 
+    kinds = f"`{key}` {rows.schema[key].dataType.simpleString()}, bets bigint, final_bankroll double, peak double, max_drawdown double, busted boolean"
+    names = [key, "bets", "final_bankroll", "peak", "max_drawdown", "busted"]
+
     def run(batches):
         now, (bank, peak, down, n) = None, (start, start, 0.0, 0)
-        row = lambda: pd.DataFrame([(now[0], n, bank, peak, down, bank <= 0)], columns=[key, "bets", "final_bankroll", "peak", "max_drawdown", "busted"])
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now[0], n, bank, peak, down, bank <= 0), kind)], names)
+        kind = [None, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
         for batch in batches:
-            for k, part, gained in zip(batch[key], batch["share"].tolist(), batch["profit_at_taken"].tolist()):
-                k = None if pd.isna(k) else k
+            kind[0] = batch.schema.field(0).type
+            for k, part, gained in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != (k,):
                     if now:
                         yield row()
                     now, (bank, peak, down, n) = (k,), (start, start, 0.0, 0)
-                n += part > 0 and bank > 0
-                bank = max(0.0, bank + bank * part * gained)
-                peak = max(peak, bank)
+                n += part > 0 and not bank <= 0
+                bank = bank + bank * part * gained
+                bank = 0.0 if bank < 0 else bank
+                peak = peak if bank <= peak else bank
                 down = min(down, (bank - peak) / peak)
         if now:
             yield row()
 
-    return lined.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, bets bigint, final_bankroll double, peak double, max_drawdown double, busted boolean")
+    return lined.mapInArrow(run, kinds)
 
 
 def bootstrap_roi(rows: DataFrame, key: str = "league", draws: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
