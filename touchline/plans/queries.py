@@ -404,7 +404,7 @@ def total_distribution(spark, d):
   ROUND(SUM(p * CASE WHEN market = 'asian_handicap' THEN (CASE WHEN abs(mg - 0.25) <= 1e-9 THEN 1 ELSE 0 END + CASE WHEN abs(mg + 0.25) <= 1e-9 THEN 1 ELSE 0 END) / 2 ELSE 0 END), 6) AS push_probability FROM g GROUP BY match_id, market, selection, line""")
 def price_offered(spark, d):
     offered = lens.read(spark, d, "odds").select("match_id", "market", "selection", "line").distinct()
-    return _round(matrix.price_offered(matrix.cells(lens.read(spark, d, "rates"), ["match_id"]), offered, ["match_id"]))
+    return _round(matrix.price_offered(lens.read(spark, d, "rates"), offered, ["match_id"]))
 
 
 _NB = f"""nb AS (SELECT match_id, y, CAST(exp(lgamma(y + 8.0) - lgamma(8.0) - lgamma(y + 1.0) + 8.0 * ln(8.0 / (8.0 + mean)) + y * ln(mean / (8.0 + mean))) AS DOUBLE) AS u FROM (SELECT match_id, 3 * lam AS mean FROM ({lens.sql('rates')}) AS r) AS t CROSS JOIN (SELECT unnest(range(41)) AS y) AS k),

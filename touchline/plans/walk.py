@@ -120,7 +120,7 @@ def predictions(matches: DataFrame, odds: DataFrame | None, w: Walk, fitted: Dat
     if odds is not None:
         mine = odds.join(rated.select("match_id"), "match_id", "left_semi")
         chosen = fair.closing_value(fair.compared(fair.chosen_prices(mine, books=True), fair.fair_probabilities(mine, w.method, w.preference, w.fallback)))
-        parts.append(matrix.price_offered(cell, chosen, ["match_id"]).where("probability > 0").withColumn("priceless", F.lit(False)))
+        parts.append(matrix.price_offered(rated.select("match_id", "lam", "mu", "rho"), chosen, ["match_id"]).where("probability > 0").withColumn("priceless", F.lit(False)))
     if w.calibrate:
         parts.append(own_markets(fixtures, cell, fitted).withColumn("priceless", F.lit(True)))
     rows = parts[0]
