@@ -387,7 +387,7 @@ def goal_markets(spark, d):
 @query("correct_scores", f"""WITH {_CELLS}, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY ROUND(p, 12) DESC, h, a) AS k FROM cells)
   SELECT match_id, 'correct_score' AS market, h || '-' || a AS selection, CAST(NULL AS DOUBLE) AS line, ROUND(p, 6) AS probability, CAST(0 AS DOUBLE) AS push_probability FROM k WHERE k <= 3""")
 def correct_scores(spark, d):
-    return _round(matrix.correct_scores(matrix.cells(lens.read(spark, d, "rates"), ["match_id"]), ["match_id"], 3))
+    return _round(matrix.rated_scores(lens.read(spark, d, "rates"), ["match_id"], 3))
 
 
 @query("total_distribution", f"WITH {_CELLS} SELECT match_id, h + a AS total, ROUND(SUM(p), 6) AS p, ROUND(SUM(SUM(p * (h + a))) OVER (PARTITION BY match_id), 6) AS expected_total FROM cells GROUP BY match_id, h + a")
