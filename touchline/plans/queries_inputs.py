@@ -126,6 +126,11 @@ _MARGINS = f"WITH {_side_pmf('hp', '2 * lam')}, {_side_pmf('ap', '2 * mu')}, d A
 _CORNER_BETS = [("corner_handicap", s, x) for x in (-1.25, 0.5, 1.0) for s in ("home", "away")] + [("home_total_corners", "over", 4.0), ("away_total_corners", "under", 3.5), ("total_goals", "over", 2.5)]
 
 
+def _count_means(spark, d):
+    lam, mu, k = 2 * F.col("lam"), 2 * F.col("mu"), F.lit(8.0)
+    return lens.read(spark, d, "rates").select("match_id", lam.alias("home_mean"), mu.alias("away_mean"), k.alias("dispersion"), k.alias("total_dispersion"))
+
+
 def _count_sides(spark, d):
     pmf = lambda mean, name: matrix.count_pmf(mean, F.lit(8.0)).alias(name)
     return lens.read(spark, d, "rates").select("match_id", pmf(2 * F.col("lam"), "home"), pmf(2 * F.col("mu"), "away"), pmf(2 * F.col("lam") + 2 * F.col("mu"), "both"))
@@ -133,7 +138,7 @@ def _count_sides(spark, d):
 
 @query("count_handicaps", _MARGINS + " " + " UNION ALL ".join(f"SELECT match_id, 'corner_handicap' AS market, '{s}' AS selection, CAST({own + 0.0} AS DOUBLE) AS line, ROUND(SUM(CASE WHEN {x} > 0 THEN p ELSE 0 END), 6) AS probability, ROUND(SUM(CASE WHEN {x} = 0 THEN p ELSE 0 END), 6) AS push_probability FROM d GROUP BY match_id" for line in (-1.5, 0.5) for s, own, x in (("home", line, f"margin + ({line})"), ("away", -line, f"-margin - ({line})"))))
 def count_handicaps(spark, d):
-    return _round(matrix.count_handicaps(_count_sides(spark, d), ["match_id"], "home", "away", "corner_handicap", (-1.5, 0.5)))
+    return _round(matrix.rated_counts(_count_means(spark, d), ["match_id"], "corners", handicaps=(-1.5, 0.5)))
 
 
 def _offered_sql() -> str:
