@@ -131,11 +131,6 @@ def _count_means(spark, d):
     return lens.read(spark, d, "rates").select("match_id", lam.alias("home_mean"), mu.alias("away_mean"), k.alias("dispersion"), k.alias("total_dispersion"))
 
 
-def _count_sides(spark, d):
-    pmf = lambda mean, name: matrix.count_pmf(mean, F.lit(8.0)).alias(name)
-    return lens.read(spark, d, "rates").select("match_id", pmf(2 * F.col("lam"), "home"), pmf(2 * F.col("mu"), "away"), pmf(2 * F.col("lam") + 2 * F.col("mu"), "both"))
-
-
 @query("count_handicaps", _MARGINS + " " + " UNION ALL ".join(f"SELECT match_id, 'corner_handicap' AS market, '{s}' AS selection, CAST({own + 0.0} AS DOUBLE) AS line, ROUND(SUM(CASE WHEN {x} > 0 THEN p ELSE 0 END), 6) AS probability, ROUND(SUM(CASE WHEN {x} = 0 THEN p ELSE 0 END), 6) AS push_probability FROM d GROUP BY match_id" for line in (-1.5, 0.5) for s, own, x in (("home", line, f"margin + ({line})"), ("away", -line, f"-margin - ({line})"))))
 def count_handicaps(spark, d):
     return _round(matrix.rated_counts(_count_means(spark, d), ["match_id"], "corners", handicaps=(-1.5, 0.5)))
@@ -161,9 +156,9 @@ def _offered_sql() -> str:
 @query("counts_offered", _offered_sql())
 def counts_offered(spark, d):
     """Count markets at a book's own lines; what isn't a market of the count has no probability."""
-    rows = _count_sides(spark, d)
+    rows = _count_means(spark, d)
     offered = rows.select("match_id", F.inline(F.array(*[F.struct(F.lit(m).alias("market"), F.lit(s).alias("selection"), F.lit(x).alias("line")) for m, s, x in _CORNER_BETS])))
-    return _round(matrix.price_counts(rows, offered, ["match_id"], "corners"))
+    return _round(matrix.price_rated_counts(rows, offered, ["match_id"], "corners"))
 
 
 @query("total_buckets", f"""WITH {_CELLS}, t AS (SELECT match_id, LEAST(h + a, 7) AS k, SUM(p) AS p FROM cells GROUP BY ALL), r AS (SELECT t.*, CASE WHEN LEAST(total_goals, 7) = k THEN 1 ELSE 0 END AS hit FROM t JOIN {_M} AS x ON x.match_id = t.match_id)
