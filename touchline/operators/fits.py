@@ -151,33 +151,61 @@ def _prior(n: np.ndarray) -> np.ndarray:
     return np.concatenate([[0, 0], np.where(new, config.PROMOTED_ATTACK, 0.0), np.where(new, config.PROMOTED_DEFENCE, 0.0)])
 
 
-def _poisson_stage(sides: Sides, x, y, w, penalty: tuple[float, float], prior: np.ndarray, corrected: bool):
+class Pairs:
+    """What a fit needs to know of matches: for each pair of home and away side, sums of weights, of goals and of their
+    squares, and the weights of the four low scores. A rate depends on the pair only, so the likelihood of all
+    matches is that of these sums, and a step costs as much for any number of matches."""
+
+    def __init__(self, sides: Sides, x, y, w):
+        t, groups = sides.teams, max(sides.groups, 1)
+        code = (sides.home.astype(np.int64) * t + sides.away) * groups + (0 if sides.group is None else sides.group)
+        held, at = np.unique(code, return_inverse=True)
+        one = lambda v: np.bincount(at, v, len(held))
+        self.sides = Sides(held // groups // t, held // groups % t, t, None if sides.group is None else held % groups, sides.groups)
+        self.w, self.x, self.y, self.squares = one(w), one(w * x), one(w * y), np.r_[one(w * x * x), one(w * y * y)]
+        self.low = [one(w * ((x == h) & (y == a))) for h, a in ((0, 0), (0, 1), (1, 0), (1, 1))]
+        self.z, self.ww = np.r_[self.x, self.y], np.r_[self.w, self.w]
+
+    def mean(self) -> float:
+        return self.z.sum() / self.ww.sum()
+
+    def corrections(self, rate: np.ndarray, rho: float):
+        """For each low score its weights, its correction and the slopes in the logarithms of both rates."""
+        n = len(self.w)
+        lam, mu = rate[:n], rate[n:]
+        zero = np.zeros(n)
+        for held, change, up, low in zip(self.low, (-lam * mu * rho, lam * rho, mu * rho, zero - rho), (1, 1, 0, 0), (1, 0, 1, 0)):
+            yield held, np.maximum(1 + change, TAU_FLOOR), up * change, low * change
+
+    def value(self, eta: np.ndarray, rho: float, corrected: bool) -> float:
+        rate = np.exp(eta)
+        out = -(self.z * eta - self.ww * rate).sum()
+        return out - sum((held * np.log(t)).sum() for held, t, _, _ in self.corrections(rate, rho)) if corrected else out
+
+    def residual(self, rate: np.ndarray, rho: float, corrected: bool) -> np.ndarray:
+        out = self.z - self.ww * rate
+        if corrected:
+            for held, t, dh, da in self.corrections(rate, rho):
+                out = out + np.r_[held * dh / t, held * da / t]
+        return out
+
+
+def _poisson_stage(sides: Sides, x, y, w, penalty: tuple[float, float], prior: np.ndarray, corrected: bool, pairs: Pairs | None = None):
     """(theta, rho, converged) of the penalised Poisson likelihood with the low-score correction."""
-    n, t = len(x), sides.teams
-    matrix = sides.matrix()
-    z, ww = np.r_[x, y], np.r_[w, w]
+    t, sums = sides.teams, pairs or Pairs(sides, x, y, w)
+    matrix = sums.sides.matrix()
     ridge = np.concatenate([[0, 0], np.full(t, penalty[0]), np.full(t, penalty[1])])
     rho = -0.05 if corrected else 0.0
 
-    def parts(theta, rho):
-        eta = np.clip(matrix @ theta, *GOAL_ETA)
-        rate = np.exp(eta)
-        return eta, rate, low_scores(x, y, rate[:n], rate[n:], rho) if corrected else None
-
     def value(theta, rho):
-        eta, rate, fix = parts(theta, rho)
-        out = -(ww * (z * eta - rate)).sum() + (ridge * (theta - prior) ** 2).sum()
-        return out - (w * np.log(fix[0])).sum() if corrected else out
+        return sums.value(np.clip(matrix @ theta, *GOAL_ETA), rho, corrected) + (ridge * (theta - prior) ** 2).sum()
 
     def curve(theta, rho):
-        _, rate, fix = parts(theta, rho)
-        residual = ww * (z - rate)
-        if corrected:
-            residual = residual + np.r_[w * fix[1] / fix[0], w * fix[2] / fix[0]]
-        return -matrix.T @ residual + 2 * ridge * (theta - prior), (matrix * (ww * rate)[:, None]).T @ matrix + np.diag(2 * ridge + 1e-9)
+        rate = np.exp(np.clip(matrix @ theta, *GOAL_ETA))
+        return -matrix.T @ sums.residual(rate, rho, corrected) + 2 * ridge * (theta - prior), (matrix * (sums.ww * rate)[:, None]).T @ matrix + np.diag(2 * ridge + 1e-9)
 
     theta = np.zeros(matrix.shape[1])
-    theta[0], theta[1] = np.log(max(np.average(z, weights=ww), 0.2)), 0.2
+    theta[0], theta[1] = np.log(max(sums.mean(), 0.2)), 0.2
     high = np.concatenate([[5, 2], np.full(2 * t, 3.0)])
     done = False
     for _ in range(12):
@@ -185,7 +213,8 @@ def _poisson_stage(sides: Sides, x, y, w, penalty: tuple[float, float], prior: n
         theta, done = newton(lambda v: value(v, rho), lambda v: curve(v, rho), theta, -high, high)
         if not corrected:
             break
-        rho = golden(lambda r: value(theta, r), -config.RHO_BOUND, config.RHO_BOUND)
+        eta, held = np.clip(matrix @ theta, *GOAL_ETA), (ridge * (theta - prior) ** 2).sum()
+        rho = golden(lambda r: sums.value(eta, r, True) + held, -config.RHO_BOUND, config.RHO_BOUND)
         if abs(rho - before[1]) < 1e-7 and np.abs(theta - before[0]).max() < 1e-6:
             break
     return theta, rho, done
@@ -193,27 +222,20 @@ def _poisson_stage(sides: Sides, x, y, w, penalty: tuple[float, float], prior: n
 
 def _level_stage(sides: Sides, strengths: np.ndarray, x, y, w, corrected: bool):
     """(intercept, home advantage, rho) on goals, with the strengths held."""
-    n = len(x)
-    fixed = sides.matrix()[:, 2:] @ strengths
-    up = np.r_[np.ones(n), np.zeros(n)]
-    design, z, ww = np.column_stack([np.ones(2 * n), up]), np.r_[x, y], np.r_[w, w]
+    sums = Pairs(sides, x, y, w)
+    n = len(sums.w)
+    fixed = sums.sides.matrix()[:, 2:] @ strengths
+    design = np.column_stack([np.ones(2 * n), np.r_[np.ones(n), np.zeros(n)]])
     rho = -0.05 if corrected else 0.0
 
     def value(v, rho):
-        eta = np.clip(fixed + design @ v, *GOAL_ETA)
-        rate = np.exp(eta)
-        out = -(ww * (z * eta - rate)).sum()
-        return out - (w * np.log(low_scores(x, y, rate[:n], rate[n:], rho)[0])).sum() if corrected else out
+        return sums.value(np.clip(fixed + design @ v, *GOAL_ETA), rho, corrected)
 
     def curve(v, rho):
         rate = np.exp(np.clip(fixed + design @ v, *GOAL_ETA))
-        residual = ww * (z - rate)
-        if corrected:
-            t, dh, da = low_scores(x, y, rate[:n], rate[n:], rho)
-            residual = residual + np.r_[w * dh / t, w * da / t]
-        return -design.T @ residual, (design * (ww * rate)[:, None]).T @ design + 1e-9 * np.eye(2)
+        return -design.T @ sums.residual(rate, rho, corrected), (design * (sums.ww * rate)[:, None]).T @ design + 1e-9 * np.eye(2)
 
-    v, high = np.array([np.log(max(np.average(z, weights=ww), 0.2)), 0.2]), np.array([5.0, 2.0])
+    v, high = np.array([np.log(max(sums.mean(), 0.2)), 0.2]), np.array([5.0, 2.0])
     for _ in range(12):
         v, _ = newton(lambda u: value(u, rho), lambda u: curve(u, rho), v, -high, high)
         if not corrected:
@@ -224,10 +246,15 @@ def _level_stage(sides: Sides, strengths: np.ndarray, x, y, w, corrected: bool):
     return float(v[0]), float(v[1]), rho
 
 
+def _matches(rows: pd.DataFrame) -> np.ndarray:
+    """How many matches each row stands for: alike ones may be one row with their number and the sum of their weights."""
+    return rows["alike"].to_numpy(float) if "alike" in rows else np.ones(len(rows))
+
+
 def _share_stage(sides: Sides, theta: np.ndarray, rho: float, rows: pd.DataFrame, w) -> tuple[float, float]:
     """How much a side's own and the other's missing share shift its rate; zero on fewer than 50 matches."""
     known = (rows["missing_home"].notna() & rows["missing_away"].notna()).to_numpy()
-    if known.sum() < 50:
+    if _matches(rows)[known].sum() < 50:
         return 0.0, 0.0
     n = int(known.sum())
     x, y = rows["home_goals"].to_numpy(float)[known], rows["away_goals"].to_numpy(float)[known]
@@ -253,14 +280,14 @@ def _share_stage(sides: Sides, theta: np.ndarray, rho: float, rows: pd.DataFrame
 
 def posterior(sides: Sides, theta: np.ndarray, x, y, w, penalty: tuple[float, float], prior: np.ndarray) -> tuple[float, float, float]:
     """(variance of attack, of defence, dispersion): squared gaps to the prior and Laplace posterior variances."""
-    t, matrix = sides.teams, sides.matrix()
+    sums = Pairs(sides, x, y, w)
+    t, matrix, ww = sides.teams, sums.sides.matrix(), sums.ww
     rate = np.exp(np.clip(matrix @ theta, *GOAL_ETA))
-    ww = np.r_[w, w]
     info = (matrix * (ww * rate)[:, None]).T @ matrix
     ridge = np.diag(np.concatenate([[0, 0], np.full(t, 2 * penalty[0]), np.full(t, 2 * penalty[1])]))
     spent = float(np.trace(np.linalg.pinv(info + ridge) @ info))
     left = ww.sum() - spent
-    spread = max(float((ww * (np.r_[x, y] - rate) ** 2 / np.maximum(rate, 1e-8)).sum() / left), 1e-3) if left > 1 else 1.0
+    spread = max(float(((sums.squares - 2 * rate * sums.z + ww * rate**2) / np.maximum(rate, 1e-8)).sum() / left), 1e-3) if left > 1 else 1.0
     variance = np.clip(np.diag(np.linalg.pinv(info / spread + ridge)), 0, None)
     gap = (theta - prior) ** 2
     part = lambda a: max(float(gap[a].mean() + variance[a].mean()), 1e-4)
@@ -320,17 +347,19 @@ def goals(rows: pd.DataFrame, target: str | None = None, ridge=None, blend: floa
     pair = (level, level) if ridge is None or mode else (float(ridge), float(ridge)) if np.isscalar(ridge) else tuple(map(float, ridge))
     need = ["home_goals", "away_goals"] + (["home_xg", "away_xg"] if target != "goals" else [])
     rows = rows.dropna(subset=need)
-    if len(rows) < config.MIN_FIT_MATCHES:
-        raise TooFewMatches(f"{len(rows)} usable matches are too few")
+    alike = _matches(rows)
+    if alike.sum() < config.MIN_FIT_MATCHES:
+        raise TooFewMatches(f"{int(alike.sum())} usable matches are too few")
     teams, home, away = _codes(rows)
     w = rows["weight"].to_numpy(float)
     g = rows["home_goals"].to_numpy(float), rows["away_goals"].to_numpy(float)
     s = blend if target == "blend" else 1.0
     x, y = g if target == "goals" else tuple(s * rows[c].to_numpy(float) + (1 - s) * v for c, v in zip(("home_xg", "away_xg"), g))
-    n = np.bincount(home, minlength=len(teams)) + np.bincount(away, minlength=len(teams))
+    n = (np.bincount(home, alike, len(teams)) + np.bincount(away, alike, len(teams))).astype(int)
     sides, prior = Sides(home, away, len(teams)), _prior(n)
+    sums = Pairs(sides, x, y, w)
     first = corrected and target == "goals"
-    stage = lambda p: _poisson_stage(sides, x, y, w, p, prior, first)
+    stage = lambda p: _poisson_stage(sides, x, y, w, p, prior, first, sums)
     found = None
     if mode:
         step = lambda p: posterior(sides, stage(p)[0], x, y, w, p, prior)
@@ -347,7 +376,7 @@ def goals(rows: pd.DataFrame, target: str | None = None, ridge=None, blend: floa
         theta = np.concatenate([[intercept, hfa], theta[2:]])
     own, other = _share_stage(sides, theta, rho, rows, w) if shares and "missing_home" in rows else (0.0, 0.0)
     t = len(teams)
-    return Goals(teams, theta[2 : 2 + t].tolist(), theta[2 + t :].tolist(), n.tolist(), intercept, hfa, float(rho), target, pair[0], pair[1], len(rows), float(w.sum()), own, other, done, notes, found)
+    return Goals(teams, theta[2 : 2 + t].tolist(), theta[2 + t :].tolist(), n.tolist(), intercept, hfa, float(rho), target, pair[0], pair[1], int(alike.sum()), float(w.sum()), own, other, done, notes, found)
 
 
 @dataclass
@@ -365,6 +394,13 @@ class Counts:
     converged: bool
 
 
+def nb_whole(totals: np.ndarray, weights: np.ndarray, z: np.ndarray, ww: np.ndarray, mu: np.ndarray, k: float) -> float:
+    """The sum of nb_log over matches: of totals, the numbers counted, with their weights, and by fixture z and ww, the
+    sums of counts and of weights."""
+    ratio = np.concatenate([[0.0], np.cumsum(np.log(k + np.arange(int(totals.max()) if len(totals) else 0)))])
+    return float((weights * ratio[totals]).sum() + (ww * k * np.log(k / (k + mu)) + z * np.log(mu / (k + mu))).sum())
+
+
 def nb_log(y: np.ndarray, mu: np.ndarray, k: float) -> np.ndarray:
     """Negative binomial log-likelihood of whole numbers, without what depends on y alone: the gamma ratio is a
     sum over the numbers below y."""
@@ -379,47 +415,49 @@ def counts(rows: pd.DataFrame, kind: str, ridge: float = 5.0, referees: bool | N
         raise ValueError(f"no counts of {kind}")
     h, a = f"home_{kind}", f"away_{kind}"
     rows = rows.dropna(subset=[h, a])
-    if len(rows) < config.MIN_FIT_MATCHES:
-        raise TooFewMatches(f"{len(rows)} matches with {kind} are too few")
+    alike = _matches(rows)
+    if alike.sum() < config.MIN_FIT_MATCHES:
+        raise TooFewMatches(f"{int(alike.sum())} matches with {kind} are too few")
     teams, home, away = _codes(rows)
-    n = np.bincount(home, minlength=len(teams)) + np.bincount(away, minlength=len(teams))
+    n = (np.bincount(home, alike, len(teams)) + np.bincount(away, alike, len(teams))).astype(int)
     w = rows["weight"].to_numpy(float)
     names: list[str] = []
     group = None
     if (kind == "cards" if referees is None else referees) and "referee" in rows:
-        freq = rows["referee"].value_counts()
+        freq = pd.Series(alike).groupby(rows["referee"].to_numpy()).sum()
         eligible = sorted(freq[freq >= config.REFEREE_MIN_MATCHES].index)
         if eligible:
             names = ["(other)", *eligible]
             group = rows["referee"].map({r: k for k, r in enumerate(names)}).fillna(0).astype(int).to_numpy()
-    sides = Sides(home, away, len(teams), group, len(names))
-    matrix, z, ww = sides.matrix(), np.r_[rows[h], rows[a]].astype(float), np.r_[w, w]
-    t = len(teams)
+    x, y = rows[h].to_numpy(float), rows[a].to_numpy(float)
+    sums = Pairs(Sides(home, away, len(teams), group, len(names)), x, y, w)
+    matrix, z, ww = sums.sides.matrix(), sums.z, sums.ww
+    each, both = np.bincount(np.r_[x, y].astype(int), np.r_[w, w]), np.bincount((x + y).astype(int), w)
+    t, m = len(teams), len(sums.w)
     prior = np.concatenate([_prior(n), np.zeros(len(names))])
     weight = np.concatenate([[0, 0], np.full(2 * t, ridge), np.full(len(names), ridge * config.REFEREE_RIDGE_FACTOR)])
     mean = lambda v: np.exp(np.clip(matrix @ v, *COUNT_ETA))
     theta, log_k, done = np.zeros(matrix.shape[1]), np.log(8.0), False
-    theta[0] = np.log(max(np.average(z, weights=ww), 0.2))
+    theta[0] = np.log(max(sums.mean(), 0.2))
     high = np.concatenate([[5, 2], np.full(2 * t, 2.0), np.ones(len(names))])
     for _ in range(20):
         k = np.exp(log_k)
 
         def value(v, k=k):
-            return -(ww * nb_log(z, mean(v), k)).sum() + (weight * (v - prior) ** 2).sum()
+            return -nb_whole(np.arange(len(each)), each, z, ww, mean(v), k) + (weight * (v - prior) ** 2).sum()
 
         def curve(v, k=k):
             mu = mean(v)
-            return -matrix.T @ (ww * (z - mu) * k / (k + mu)) + 2 * weight * (v - prior), (matrix * (ww * mu * k / (k + mu))[:, None]).T @ matrix + np.diag(2 * weight + 1e-9)
+            return -matrix.T @ ((z - ww * mu) * k / (k + mu)) + 2 * weight * (v - prior), (matrix * (ww * mu * k / (k + mu))[:, None]).T @ matrix + np.diag(2 * weight + 1e-9)
 
         theta, done = newton(value, curve, theta, -high, high)
         mu = mean(theta)
-        last, log_k = log_k, golden(lambda v: -(ww * nb_log(z, mu, np.exp(v))).sum(), *K_BOUNDS)
+        last, log_k = log_k, golden(lambda v: -nb_whole(np.arange(len(each)), each, z, ww, mu, np.exp(v)), *K_BOUNDS)
         if abs(log_k - last) < 1e-7:
             break
-    m = len(rows)
-    total = golden(lambda v: -(w * nb_log(z[:m] + z[m:], mu[:m] + mu[m:], np.exp(v))).sum(), *K_BOUNDS)
+    total = golden(lambda v: -nb_whole(np.arange(len(both)), both, z[:m] + z[m:], sums.w, mu[:m] + mu[m:], np.exp(v)), *K_BOUNDS)
     effects = {r: float(e) for r, e in zip(names, theta[2 + 2 * t :]) if r != "(other)"}
-    return Counts(teams, theta[2 : 2 + t].tolist(), theta[2 + t : 2 + 2 * t].tolist(), n.tolist(), float(theta[0]), float(theta[1]), float(np.exp(log_k)), float(np.exp(total)), effects, m, done)
+    return Counts(teams, theta[2 : 2 + t].tolist(), theta[2 + t : 2 + 2 * t].tolist(), n.tolist(), float(theta[0]), float(theta[1]), float(np.exp(log_k)), float(np.exp(total)), effects, int(alike.sum()), done)
 
 
 GOALS_SCHEMA = "intercept double, home_advantage double, rho double, target string, ridge_attack double, ridge_defence double, n_matches bigint, effective_n double, own_share double, other_share double, converged boolean, status string, ratings array<struct<team:string,attack:double,defence:double,matches:bigint>>"
@@ -447,7 +485,7 @@ def fit_goals(training: DataFrame, keys: list[str], by: dict[str, dict] | None =
             m = goals(rows, **(options | own))
             row |= {k: v for k, v in asdict(m).items() if k not in ("teams", "attack", "defence", "matches", "notes", "estimate")} | {"status": "; ".join(m.notes) or "ok", "ratings": _ratings(m)}
         except (TooFewMatches, NoChances) as e:
-            row |= {"status": str(e), "converged": False, "n_matches": len(rows), "ratings": []}
+            row |= {"status": str(e), "converged": False, "n_matches": int(_matches(rows).sum()), "ratings": []}
         return pd.DataFrame([row])[[*keys, *_empty(GOALS_SCHEMA)]]
 
     return training.groupBy(*keys).applyInPandas(run, f"{kinds}, {GOALS_SCHEMA}")
@@ -463,7 +501,7 @@ def fit_counts(training: DataFrame, keys: list[str], kind: str, **options) -> Da
             m = counts(rows, kind, **options)
             row |= {k: v for k, v in asdict(m).items() if k not in ("teams", "attack", "defence", "matches", "referees")} | {"status": "ok", "ratings": _ratings(m), "referees": m.referees}
         except TooFewMatches as e:
-            row |= {"status": str(e), "converged": False, "n_matches": len(rows), "ratings": [], "referees": {}}
+            row |= {"status": str(e), "converged": False, "n_matches": int(_matches(rows).sum()), "ratings": [], "referees": {}}
         return pd.DataFrame([row])[[*keys, *_empty(COUNTS_SCHEMA)]]
 
     return training.groupBy(*keys).applyInPandas(run, f"{kinds}, {COUNTS_SCHEMA}")
