@@ -479,34 +479,85 @@ def fit_goals(training: DataFrame, keys: list[str], by: dict[str, dict] | None =
     kinds = ", ".join(f"`{k}` {training.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key, rows):
-        row = dict(zip(keys, key)) | _empty(GOALS_SCHEMA)
-        try:
-            own = {o: v for name, values in (by or {}).items() for o, v in values.get(row[name], {}).items()}
-            m = goals(rows, **(options | own))
-            row |= {k: v for k, v in asdict(m).items() if k not in ("teams", "attack", "defence", "matches", "notes", "estimate")} | {"status": "; ".join(m.notes) or "ok", "ratings": _ratings(m)}
-        except (TooFewMatches, NoChances) as e:
-            row |= {"status": str(e), "converged": False, "n_matches": int(_matches(rows).sum()), "ratings": []}
-        return pd.DataFrame([row])[[*keys, *_empty(GOALS_SCHEMA)]]
+        row = dict(zip(keys, key))
+        own = {o: v for name, values in (by or {}).items() for o, v in values.get(row[name], {}).items()}
+        return pd.DataFrame([row | goals_row(rows, **(options | own))])[[*keys, *_empty(GOALS_SCHEMA)]]
 
     return training.groupBy(*keys).applyInPandas(run, f"{kinds}, {GOALS_SCHEMA}")
 
 
+def goals_row(rows: pd.DataFrame, **options) -> dict:
+    """goals() as a row of GOALS_SCHEMA, a refusal too."""
+    row = _empty(GOALS_SCHEMA)
+    try:
+        m = goals(rows, **options)
+        return row | {k: v for k, v in asdict(m).items() if k not in ("teams", "attack", "defence", "matches", "notes", "estimate")} | {"status": "; ".join(m.notes) or "ok", "ratings": _ratings(m)}
+    except (TooFewMatches, NoChances) as e:
+        return row | {"status": str(e), "converged": False, "n_matches": int(_matches(rows).sum()), "ratings": []}
+
+
+def counts_row(rows: pd.DataFrame, kind: str, **options) -> dict:
+    """counts() as a row of COUNTS_SCHEMA, a refusal too."""
+    row = _empty(COUNTS_SCHEMA)
+    try:
+        m = counts(rows, kind, **options)
+        return row | {k: v for k, v in asdict(m).items() if k not in ("teams", "attack", "defence", "matches", "referees")} | {"status": "ok", "ratings": _ratings(m), "referees": m.referees}
+    except TooFewMatches as e:
+        return row | {"status": str(e), "converged": False, "n_matches": int(_matches(rows).sum()), "ratings": [], "referees": {}}
+
+
 def fit_counts(training: DataFrame, keys: list[str], kind: str, **options) -> DataFrame:
     """(keys, parameters, status, ratings, referees) of corners or cards, as fit_goals."""
     kinds = ", ".join(f"`{k}` {training.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key, rows):
-        row = dict(zip(keys, key)) | _empty(COUNTS_SCHEMA)
-        try:
-            m = counts(rows, kind, **options)
-            row |= {k: v for k, v in asdict(m).items() if k not in ("teams", "attack", "defence", "matches", "referees")} | {"status": "ok", "ratings": _ratings(m), "referees": m.referees}
-        except TooFewMatches as e:
-            row |= {"status": str(e), "converged": False, "n_matches": int(_matches(rows).sum()), "ratings": [], "referees": {}}
-        return pd.DataFrame([row])[[*keys, *_empty(COUNTS_SCHEMA)]]
+        return pd.DataFrame([dict(zip(keys, key)) | counts_row(rows, kind, **options)])[[*keys, *_empty(COUNTS_SCHEMA)]]
 
     return training.groupBy(*keys).applyInPandas(run, f"{kinds}, {COUNTS_SCHEMA}")
 
 
+#: Dates of a league whose fits are one task.
+BLOCK = 32
+
+
+def fit_running(history: DataFrame, key: str, as_ofs: dict, columns: list[str], half_life: float, fit, schema: str) -> DataFrame:
+    """(key, as_of, parameters …): a fit (of a frame, giving a row of schema) at each of a key's dates as_ofs, on all
+    history (key, date, columns) before it, weighted by age.
+
+    A match is sent to a key's first date after it, not to all of them: there alike ones become one row with their
+    number and the sum of their weights, and a date's rows are those of the date before, aged, and what is new. A task
+    has a key's BLOCK dates and holds kinds of matches.
+    """
+    spark, epoch = history.sparkSession, pd.Timestamp("1970-01-01")
+    number = {k: [(pd.Timestamp(d) - epoch).days for d in sorted(v)] for k, v in as_ofs.items()}
+    kind = history.schema[key].dataType.simpleString()
+    dates = spark.createDataFrame([(k, d, at // BLOCK, (len(v) - 1) // BLOCK) for k, v in number.items() for at, d in enumerate(v)], f"`{key}` {kind}, _since int, _block int, _last int")
+    aged = history.withColumn("_day", F.datediff("date", F.lit("1970-01-01").cast("date")))
+    days = aged.select(key, "_day").distinct().join(F.broadcast(dates), key).where("_since > _day")  # a key by days
+    first = days.groupBy(key, "_day").agg(F.min(F.struct("_since", "_block", "_last")).alias("_f")).select(key, "_day", "_f.*")
+    cells = aged.join(F.broadcast(first), [key, "_day"]).groupBy(key, "_since", "_block", "_last", *columns).agg(F.sum(F.pow(F.lit(0.5), (F.col("_since") - F.col("_day")) / half_life)).alias("weight"), F.count("*").alias("alike"))
+    blocks = cells.select(key, "_since", *columns, "weight", "alike", F.explode(F.sequence("_block", "_last")).alias("_block"))
+
+    def run(group, rows):
+        mine = number[group[0]][group[1] * BLOCK : (group[1] + 1) * BLOCK]
+        rows = rows.sort_values(["_since", *columns], ignore_index=True)
+        code = rows.groupby(columns, dropna=False, sort=True).ngroup().to_numpy()
+        _, at = np.unique(code, return_index=True)
+        base, since = rows[columns].iloc[at].reset_index(drop=True), rows["_since"].to_numpy()
+        when = np.maximum(since, mine[0])
+        part, count = rows["weight"].to_numpy() * 0.5 ** ((when - since) / half_life), rows["alike"].to_numpy()
+        weight, alike, last, out = np.zeros(len(base)), np.zeros(len(base)), mine[0], []
+        for day in mine:
+            new = when == day
+            weight = weight * 0.5 ** ((day - last) / half_life) + np.bincount(code[new], part[new], len(base))
+            alike, last = alike + np.bincount(code[new], count[new], len(base)), day
+            if (some := alike > 0).any():
+                out.append({key: group[0], "as_of": (epoch + pd.Timedelta(days=day)).date()} | fit(base[some].assign(weight=weight[some], alike=alike[some])))
+        return pd.DataFrame(out, columns=[key, "as_of", *_empty(schema)])
+
+    return blocks.groupBy(key, "_block").applyInPandas(run, f"`{key}` {kind}, as_of date, {schema}")
+
+
 SHRINKAGE_SCHEMA = "matches bigint, effective_n double, teams bigint, dispersion double, tau_attack double, tau_defence double, split_attack double, split_defence double, em_attack double, em_defence double, em_rounds bigint, em_settled boolean"
 
 

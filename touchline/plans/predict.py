@@ -69,23 +69,17 @@ def models(matches: DataFrame, as_of, half_life: float = config.HALF_LIFE_DAYS,
     return {k: landed(fit) for k, fit in out.items()}  # a row a league; each is read more than once
 
 
-def half_markets(cell: DataFrame, keys: list[str]) -> DataFrame:
-    """The markets of the first half, from the cells of its own matrix."""
-    half = matrix.goal_markets(cell, keys, goal_lines=(0.5, 1.5, 2.5), team_lines=()).where("market in ('1x2', 'total_goals')")
+def half_markets(rates: DataFrame, columns: list[str]) -> DataFrame:
+    """The markets of the first half, from the rates of its own fit."""
+    half = matrix.rated_markets(rates, columns, goal_lines=(0.5, 1.5, 2.5), team_lines=(), only=("1x2", "total_goals"))
     return half.withColumn("market", F.concat("market", F.lit("_ht")))
 
 
-def count_markets(means: DataFrame, keys: list[str], kind: str) -> DataFrame:
+def count_markets(means: DataFrame, columns: list[str], kind: str) -> DataFrame:
     """All markets of corners or cards, from the rows of fits.count_rates."""
     lines = config.CORNER_LINES if kind == "corners" else config.CARD_LINES
     side_lines = tuple(sorted({int(x / 2) + 0.5 for x in lines}))
-    pmf = lambda mean, spread, name: matrix.count_pmf(mean, F.col(spread)).alias(name)
-    home, away = F.col("home_mean"), F.col("away_mean")
-    pmfs = means.select(*keys, pmf(home, "dispersion", "home"), pmf(away, "dispersion", "away"), pmf(home + away, "total_dispersion", "both"))
-    out = matrix.count_over_under(pmfs, keys, "both", f"total_{kind}", lines)
-    for side in ("home", "away"):
-        out = out.unionByName(matrix.count_over_under(pmfs, keys, side, f"{side}_total_{kind}", side_lines))
-    return out.unionByName(matrix.count_handicaps(pmfs, keys, "home", "away", f"{kind[:-1]}_handicap", (-1.5, -0.5, 0.5, 1.5)))
+    return matrix.rated_counts(means, columns, kind, lines, side_lines, (-1.5, -0.5, 0.5, 1.5))
 
 
 def priced(fixtures: DataFrame, fitted: dict[str, DataFrame], key: str = "fixture_id") -> DataFrame:
@@ -95,7 +89,7 @@ def priced(fixtures: DataFrame, fitted: dict[str, DataFrame], key: str = "fixtur
     rated = fits.rates(fixtures, ok("goals"), ["league"])
     out = matrix.all_goal_markets(matrix.cells(rated, [key]), [key], handicaps=(-1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0))
     if "half" in fitted:
-        out = out.unionByName(half_markets(matrix.cells(fits.rates(fixtures, ok("half"), ["league"]), [key]), [key]))
+        out = out.unionByName(half_markets(fits.rates(fixtures, ok("half"), ["league"]), [key]))
     for kind in ("corners", "cards"):
         if kind in fitted:
             out = out.unionByName(count_markets(fits.count_rates(fixtures, ok(kind), ["league"]), [key], kind))

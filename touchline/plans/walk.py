@@ -67,69 +67,96 @@ def weekly_training(matches: DataFrame, w: Walk) -> DataFrame:
     return history.withColumn("weight", dates.decay(F.col("date"), F.col("as_of"), w.half_life))
 
 
-def weekly_fits(matches: DataFrame, w: Walk) -> DataFrame:
-    """(league, as_of, parameters, status, ratings) of every bucket's goals; a bucket's fit is a task of its own."""
-    return fits.fit_goals(weekly_training(matches, w), ["league", "as_of"], target=w.target, ridge=w.ridge, shares=w.shares)
-
-
 def weekly_models(matches: DataFrame, w: Walk) -> dict[str, DataFrame]:
     """The fits of every bucket: goals, and first halves and counts where the walk asks for them. Each is a row a
     league and bucket, read more than once, so it is written."""
-    rows, keys = weekly_training(matches, w), ["league", "as_of"]
-    out = {"goals": fits.fit_goals(rows, keys, target=w.target, ridge=w.ridge, shares=w.shares)}
-    if w.halves and "home_goals_ht" in rows.columns:
-        out["half"] = fits.fit_goals(teams.half_time(rows), keys, target="goals")
+    return {k: landed(fit) for k, fit in _models(matches, w).items()}
+
+
+def weekly_fits(matches: DataFrame, w: Walk) -> DataFrame:
+    """(league, as_of, parameters, status, ratings) of every bucket's goals."""
+    return _models(matches, replace(w, halves=False, counted=()))["goals"]
+
+
+def _models(matches: DataFrame, w: Walk) -> dict[str, DataFrame]:
+    """Every bucket's fits. Where they read all that was before, a match is read once and carried on from bucket to
+    bucket; of the last history_days each bucket reads its own rows."""
+    facts = teams.with_cards(matches) if "cards" in w.counted else matches
+    goals = lambda r: fits.goals_row(r, target=w.target, ridge=w.ridge, shares=w.shares)
+    models = {"goals": (facts, ("home_goals", "away_goals", "home_xg", "away_xg", *(("missing_home", "missing_away") if w.shares else ())), goals, fits.GOALS_SCHEMA)}
+    if w.halves and "home_goals_ht" in facts.columns:
+        models["half"] = (teams.half_time(facts), ("home_goals", "away_goals"), lambda r: fits.goals_row(r, target="goals"), fits.GOALS_SCHEMA)
     for kind in w.counted:
-        if f"home_{kind}" in rows.columns:
-            out[kind] = fits.fit_counts(rows, keys, kind)
-    return {k: landed(fit) for k, fit in out.items()}
+        if f"home_{kind}" in facts.columns:
+            more = ("referee",) if kind == "cards" else ()
+            models[kind] = (facts, (f"home_{kind}", f"away_{kind}", *more), lambda r, kind=kind: fits.counts_row(r, kind), fits.COUNTS_SCHEMA)
+    if w.history_days is not None:
+        rows, keys = weekly_training(matches, w), ["league", "as_of"]
+        fit = {"goals": lambda: fits.fit_goals(rows, keys, target=w.target, ridge=w.ridge, shares=w.shares), "half": lambda: fits.fit_goals(teams.half_time(rows), keys, target="goals")}
+        return {k: fit[k]() if k in fit else fits.fit_counts(rows, keys, k) for k in models}
+    as_ofs: dict = {}
+    for league, day in bucketed(matches, w).select("league", "as_of").distinct().collect():  # leagues by weeks
+        if league is not None:
+            as_ofs.setdefault(league, []).append(day)
+    out = {}
+    for name, (rows, wanted, fit, schema) in models.items():
+        columns = ["home_team", "away_team", *[c for c in wanted if c in rows.columns]]
+        out[name] = fits.fit_running(rows.select("league", "date", *columns), "league", as_ofs, columns, w.half_life, fit, schema)
+    return out
 
 
-def own_markets(fixtures: DataFrame, cell: DataFrame, fitted: dict[str, DataFrame]) -> DataFrame:
-    """The models' own selections at their own lines of the markets that are checked against results."""
+def own_markets(rated: DataFrame, columns: list[str], fitted: dict[str, DataFrame]) -> DataFrame:
+    """The models' own selections at their own lines of the markets that are checked against results, of fixtures (rated:
+    columns, lam, mu, rho). All are worked out in the fixture's row and keep its columns."""
     ok = lambda k: fitted[k].where("intercept is not null")
-    key, by = ["match_id"], ["league", "as_of"]
-    out = matrix.goal_markets(cell, key, handicaps=(-0.5, -0.25, 0.0, 0.25, 0.5))
+    by = ["league", "as_of"]
+    out = matrix.rated_markets(rated, columns, handicaps=(-0.5, -0.25, 0.0, 0.25, 0.5))
+    fixtures = rated.select(*columns)
     if "half" in fitted:
-        out = out.unionByName(predict.half_markets(matrix.cells(fits.rates(fixtures, ok("half"), by), key), key))
+        out = out.unionByName(predict.half_markets(fits.rates(fixtures, ok("half"), by), columns))
     for kind in ("corners", "cards"):
         if kind in fitted:
-            out = out.unionByName(predict.count_markets(fits.count_rates(fixtures, ok(kind), by), key, kind))
+            out = out.unionByName(predict.count_markets(fits.count_rates(fixtures, ok(kind), by), columns, kind))
     return out.where(F.col("market").isin(*config.CALIBRATED_MARKETS) & (F.col("probability") > 0))
 
 
-def predictions(matches: DataFrame, odds: DataFrame | None, w: Walk, fitted: DataFrame | dict[str, DataFrame] | None = None) -> DataFrame:
+def predictions(matches: DataFrame, odds: DataFrame | None, w: Walk, fitted: DataFrame | dict[str, DataFrame] | None = None, market: str | None = None) -> DataFrame:
     """One row for each selection offered in the window, priced at the offered line, settled and compared with the
     market; and, where calibrate is set, one for each of the models' own selections, without a price.
 
-    fitted is what weekly_fits() or weekly_models() gave, where that is at hand. Matches of buckets without a fit of
+    fitted is what weekly_fits() or weekly_models() gave, where that is at hand. With a market the rows are those of that
+    market, and no other is priced. Matches of buckets without a fit of
     goals are left out; skipped() counts them. Those without a fit of halves or counts lack those markets only. A
-    selection whose count isn't known has no row.
+    selection whose count isn't known has no row. A fixture's facts travel with its rates, so selections aren't joined
+    with their match again.
     """
     fixtures = bucketed(teams.with_cards(matches), w)
-    fitted = weekly_models(matches, w) if fitted is None else fitted if isinstance(fitted, dict) else {"goals": fitted}
-    rated = fits.rates(fixtures, fitted["goals"].where("intercept is not null"), ["league", "as_of"])
-    cell = matrix.cells(rated, ["match_id"])
-    match = rated.select("match_id", "league", "date", "home_team", "away_team", *[c for c in _FACTS if c in rated.columns])
     for c in _FACTS:
-        if c not in match.columns:
+        if c not in fixtures.columns:
             sides = [c.replace("total", s) for s in ("home", "away")]
-            whole = F.col(sides[0]) + F.col(sides[1]) if c.startswith("total") else F.lit(None).cast("int")
-            match = match.withColumn(c, whole)
+            fixtures = fixtures.withColumn(c, F.col(sides[0]) + F.col(sides[1]) if c.startswith("total") else F.lit(None).cast("int"))
+    facts = ["match_id", "league", "date", "home_team", "away_team", *_FACTS]
+    known = [*facts, "as_of", *[c for c in ("referee", "missing_home", "missing_away") if c in fixtures.columns]]
+    fitted = weekly_models(matches, w) if fitted is None else fitted if isinstance(fitted, dict) else {"goals": fitted}
+    rated = fits.rates(fixtures.select(known), fitted["goals"].where("intercept is not null"), ["league", "as_of"])
     parts = []
     if odds is not None:
-        mine = odds.join(rated.select("match_id"), "match_id", "left_semi")
-        chosen = fair.closing_value(fair.compared(fair.chosen_prices(mine, books=True), fair.fair_probabilities(mine, w.method, w.preference, w.fallback)))
-        parts.append(matrix.price_offered(rated.select("match_id", "lam", "mu", "rho"), chosen, ["match_id"]).where("probability > 0").withColumn("priceless", F.lit(False)))
+        odds = odds if market is None else odds.where(F.col("market") == market)
+        chosen = fair.closing_value(fair.compared(fair.chosen_prices(odds, books=True), fair.fair_probabilities(odds, w.method, w.preference, w.fallback)))
+        offered = matrix.price_offered(rated.select(*facts, "lam", "mu", "rho"), chosen, ["match_id"], tuple(facts[1:]))
+        parts.append(offered.where("probability > 0").withColumn("priceless", F.lit(False)))
     if w.calibrate:
-        parts.append(own_markets(fixtures, cell, fitted).withColumn("priceless", F.lit(True)))
+        parts.append(own_markets(rated, known, fitted).drop(*[c for c in known if c not in facts]).withColumn("priceless", F.lit(True)))
+        parts[-1] = parts[-1] if market is None else parts[-1].where(F.col("market") == market)
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p, allowMissingColumns=True)
     for c, kind in _UNPRICED.items():
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast(kind))
-    joined = rows.join(match, "match_id").withColumn("o", settlement.settle(F.col("market"), F.col("selection"), F.col("line"))).where("o is not null")
+    # As a generated column: a later filter by market is then never mixed with the rules' own tests of it.
+    outcome = settlement.settle(F.col("market"), F.col("selection"), F.col("line"))
+    joined = rows.select("*", F.inline(F.array(F.struct(outcome.alias("o"))))).where("o is not null")
     ev = pricing.expected_value(F.col("probability"), F.col("price_taken"), F.col("push_probability"))
     more = {"model_probability": F.col("probability"), "model_conditional": pricing.conditional(F.col("probability"), F.col("push_probability")), "fair_price": pricing.fair_price(F.col("probability"), F.col("push_probability")), "expected_value": ev, "win_fraction": F.col("o.win"), "push_fraction": F.col("o.push")}
     more |= {"profit_at_taken": settlement.profit(F.col("o"), F.col("price_taken")), "profit_at_close": settlement.profit(F.col("o"), F.col("price_close"))}
@@ -163,13 +190,11 @@ def grid_fits(matches: DataFrame, walks: list[Walk]) -> tuple[DataFrame, list[in
     and buckets, so all fits are tasks of one job."""
     of = [tuple(getattr(w, c) for c in _FITTED) for w in walks]
     choices = list(dict.fromkeys(of))
-    rows, options = None, {}
+    rows = None
     for k, c in enumerate(choices):
-        w = walks[of.index(c)]
-        options[k] = {"target": w.target, "ridge": w.ridge, "shares": w.shares}
-        one = weekly_training(matches, w).withColumn("choice", F.lit(k))
+        one = weekly_fits(matches, walks[of.index(c)]).withColumn("choice", F.lit(k))
         rows = one if rows is None else rows.unionByName(one)
-    return landed(fits.fit_goals(rows, ["choice", "league", "as_of"], by={"choice": options})), [choices.index(c) for c in of]
+    return landed(rows), [choices.index(c) for c in of]
 
 
 def grid(matches: DataFrame, odds: DataFrame | None, w: Walk, settings: list[dict], market: str = "1x2") -> DataFrame:
@@ -177,7 +202,7 @@ def grid(matches: DataFrame, odds: DataFrame | None, w: Walk, settings: list[dic
     walks, out = [Walk(**(asdict(w) | s)) for s in settings], None
     fitted, choice = grid_fits(matches, walks)
     for k, (one, s) in enumerate(zip(walks, settings)):
-        rows = predictions(matches, odds, one, fitted.where(F.col("choice") == choice[k]).drop("choice"))
+        rows = predictions(matches, odds, one, fitted.where(F.col("choice") == choice[k]).drop("choice"), market)
         scores = scoring.market_scores(rows.where(F.col("market") == market)).select(F.lit(k).alias("setting"), F.lit(str(sorted(s.items()))).alias("options"), "n", "model_log_loss", "model_brier")
         out = scores if out is None else out.unionByName(scores)
     return out
